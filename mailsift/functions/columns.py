@@ -1,8 +1,11 @@
 """Column helpers shared by all operators."""
 
+import functools
+
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
-from mailsift.functions.regex import WS
+from mailsift.functions.regex import SPACE, WHITESPACE
 
 
 def let(value, body):
@@ -16,11 +19,11 @@ def let(value, body):
 
 
 def trim(text):
-    return F.regexp_replace(text, rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def collapse_spaces(text):
-    return trim(F.regexp_replace(text, rf"[{WS}]+", " "))
+    return F.btrim(F.regexp_replace(text, f"{SPACE}+", " "), F.lit(" "))
 
 
 def compact(*items):
@@ -37,6 +40,20 @@ def first_of_each(items, key):
                                     lambda r: r["item"])))
 
 
+MARK = "\u0001"
+STAND_IN = "\ufffd"
+
+
+def gaps(text, pattern):
+    """The texts between the matches of a pattern.
+
+    ``split`` compiles its pattern again for every row, ``regexp_replace`` does
+    not, so matches are replaced by a mark first. A mark in the text itself gives
+    way to a character that all patterns treat alike.
+    """
+    return F.split(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(STAND_IN)), pattern, MARK), MARK)
+
+
 def offsets(gaps, hits):
     """Start of every hit, from the texts between hits and the hits themselves."""
     zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts"))
@@ -48,5 +65,37 @@ def offsets(gaps, hits):
         lambda acc: acc["starts"])
 
 
+def once(build):
+    """Build a column expression once per Spark application.
+
+    Expressions name columns, not data frames, so all plans can share them.
+    Building one takes a call into the JVM per node, which adds up.
+    """
+    built = {}
+
+    @functools.wraps(build)
+    def get(*args):
+        key = (SparkContext.getOrCreate().applicationId, *args)
+        if key not in built:
+            built[key] = build(*args)
+        return built[key]
+    return get
+
+
+def sql_text(value):
+    """A string as a Spark SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def among(value, values):
+    """Whether a text is one of a list; the list is a single literal."""
+    return F.find_in_set(value, F.lit(",".join(values))) > 0
+
+
+@once
+def constant(sql):
+    return F.expr(sql)
+
+
 def text_list(values):
-    return F.array(*[F.lit(v) for v in values])
+    return constant(f"array({', '.join(map(sql_text, values))})")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from mailsift.data import lists
-from mailsift.functions.columns import let, trim
+from mailsift.functions.columns import among, constant, let, sql_text, text_list, trim
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d{1,2})"
 
@@ -11,14 +11,14 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d{1,2})"
 def registrable(host):
     """The part of a host that somebody registered: login.shop.co.uk -> shop.co.uk."""
     h = trim(F.regexp_replace(F.lower(host), r"\.\z", ""))
-    return let(h, lambda x: F.when(F.substring_index(x, ".", -2).isin(lists.MULTI_PART_SUFFIXES),
+    return let(h, lambda x: F.when(among(F.substring_index(x, ".", -2), lists.MULTI_PART_SUFFIXES),
                                    F.substring_index(x, ".", -3))
                .otherwise(F.substring_index(x, ".", -2)))
 
 
 def core_of(domain):
     """A registrable domain without its suffix; a bare two-part suffix stays whole."""
-    return F.when(domain.isin(lists.MULTI_PART_SUFFIXES), domain).otherwise(F.substring_index(domain, ".", 1))
+    return F.when(among(domain, lists.MULTI_PART_SUFFIXES), domain).otherwise(F.substring_index(domain, ".", 1))
 
 
 def last_label(host):
@@ -67,51 +67,51 @@ def typosquat_targets():
     return list(seen.values())
 
 
-def brand_number(matches):
-    """Position of the first brand with a token for which ``matches(token)`` holds, else null."""
-    chain = F.when(F.lit(False), F.lit(0))
-    for number, (_, tokens, _) in enumerate(lists.BRANDS, 1):
-        conditions = [c for c in (matches(t) for t in tokens) if c is not None]
-        if conditions:
-            any_token = conditions[0]
-            for c in conditions[1:]:
-                any_token = any_token | c
-            chain = chain.when(any_token, F.lit(number))
-    return chain
+def _brand_tokens(usable, needle):
+    rows = [f"named_struct('brand', {n}, 'whole', {str(len(t) < 5).lower()}, 'needle', {sql_text(needle(t))})"
+            for n, (_, tokens, _) in enumerate(lists.BRANDS, 1) for t in tokens if usable(t)]
+    return constant(f"array({', '.join(rows)})")
 
 
 def brand_in_host(host):
-    """A short token must be a whole label or part, a longer one may sit anywhere."""
+    """Position of the first brand with a token in the host, else null.
+
+    A short token must be a whole label or part, a longer one may sit anywhere.
+    """
+    tokens = _brand_tokens(lambda t: True, lambda t: f".{t}." if len(t) < 5 else t)
     parts = F.concat(F.lit("."), F.translate(host, "-_", ".."), F.lit("."))
-    return brand_number(lambda t: F.contains(parts, F.lit(f".{t}.")) if len(t) < 5
-                        else F.contains(host, F.lit(t)))
+    return let(parts, lambda p: F.get(F.filter(tokens, lambda t: F.contains(
+        F.when(t["whole"], p).otherwise(host), t["needle"])), F.lit(0))["brand"])
 
 
 def brand_in_display(display):
-    lowered = F.lower(display)
-    return brand_number(lambda t: F.contains(lowered, F.lit(t)) if len(t) >= 4 else None)
+    """Position of the first brand with a token of four or more letters in a display name, else null."""
+    tokens = _brand_tokens(lambda t: len(t) >= 4, lambda t: t)
+    return let(F.lower(display), lambda d: F.get(F.filter(
+        tokens, lambda t: F.contains(d, t["needle"])), F.lit(0))["brand"])
 
 
 def brand_owns(number, domain):
-    pairs = [f"{i} {d}" for i, (_, _, domains) in enumerate(lists.BRANDS, 1) for d in domains]
-    return F.concat_ws(" ", number.cast("string"), domain).isin(pairs)
+    return among(F.concat_ws(" ", number.cast("string"), domain),
+                 [f"{i} {d}" for i, (_, _, domains) in enumerate(lists.BRANDS, 1) for d in domains])
 
 
 def brand_name(number):
-    return F.element_at(F.array(*[F.lit(b[0]) for b in lists.BRANDS]), number)
+    return F.element_at(text_list([b[0] for b in lists.BRANDS]), number)
 
 
 def brand_domain_list(number):
-    return F.element_at(F.array(*[F.lit(", ".join(b[2])) for b in lists.BRANDS]), number)
+    return F.element_at(text_list([", ".join(b[2]) for b in lists.BRANDS]), number)
 
 
 def typosquat(host, reg):
     """First brand domain within one or two edits of a word of the host, else null."""
-    usable = lambda c: (F.length(c) >= 5) & ~c.isin(lists.HOST_STOPWORDS)
+    usable = lambda c: (F.length(c) >= 5) & ~among(c, lists.HOST_STOPWORDS)
     flat = F.regexp_replace(core_of(reg), "[-_]", "")
     words = F.array_distinct(F.filter(F.concat(label_tokens(host), F.array(flat)), usable))
-    targets = F.array(*[F.struct(F.lit(b).alias("brand"), F.lit(d).alias("domain"), F.lit(c).alias("core"))
-                        for b, d, c in typosquat_targets()])
+    targets = constant("array({})".format(", ".join(
+        f"named_struct('brand', {sql_text(b)}, 'domain', {sql_text(d)}, 'core', {sql_text(c)})"
+        for b, d, c in typosquat_targets())))
     near = lambda w, core: F.levenshtein(w, core, 2)
 
     def search(ws):
@@ -122,4 +122,4 @@ def typosquat(host, reg):
             F.get(F.filter(F.transform(ws, lambda w: near(w, t["core"])), lambda d: d.between(1, 2)),
                   F.lit(0)).alias("distance"))))
 
-    return F.when(~reg.isin(official_domains()), let(words, search))
+    return F.when(~among(reg, official_domains()), let(words, search))

@@ -7,11 +7,10 @@ does without decoding the text. The words come from the pattern itself, so a
 new catalogue row gets its gate for free and a gate can never hide a match.
 """
 
-from functools import reduce
 from re import _constants as k
 from re import _parser
 
-from pyspark.sql import functions as F
+from mailsift.functions.columns import sql_text
 
 MAX_GROUPS = 2
 MIN_WORD = 3
@@ -56,7 +55,6 @@ def word_groups(pattern):
 
 
 def gate(lowered, pattern):
-    """Condition on the lower-cased text without which ``pattern`` cannot match."""
-    groups = [reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in g])
-              for g in word_groups(pattern)]
-    return reduce(lambda a, b: a & b, groups) if groups else F.lit(True)
+    """Condition on the lower-cased text without which ``pattern`` cannot match, as SQL."""
+    groups = [" or ".join(f"contains({lowered}, {sql_text(w)})" for w in g) for g in word_groups(pattern)]
+    return " and ".join(f"({g})" for g in groups) or "true"

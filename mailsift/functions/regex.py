@@ -17,6 +17,9 @@ import re
 from mailsift.data import lists
 
 WS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+# The same class in a form that a plain ASCII character leaves after two tests.
+SPACE = r"[\s[\u0080-\uFFFF&&[\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]]]"
+WHITESPACE = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 WS_IN_LINE = WS.replace(r"\n", "")
 NOT_AFTER_WORD = r"(?<![A-Za-z0-9_])"
 NOT_BEFORE_WORD = r"(?![A-Za-z0-9_])"
@@ -35,7 +38,7 @@ def _boundary(match):
 
 def jvm(pattern, ignore_case=True):
     """Render a catalogue pattern; ``\\s`` may only stand outside a class."""
-    body = re.sub(r"\\b", _boundary, pattern).replace(r"\s", f"[{WS}]").replace(r"\/", "/")
+    body = re.sub(r"\\b", _boundary, pattern).replace(r"\s", SPACE).replace(r"\/", "/")
     return ("(?i)" if ignore_case else "") + body
 
 
@@ -55,7 +58,7 @@ BARE_HOST = rf"(?i)[@/]?{NOT_AFTER_WORD}{HOST}"
 HOST_IN_TEXT = rf"(?i)(?:https?://)?{HOST}"
 FILE_NAME = (rf"""(?i)(?:^|[{WS}"'\[(<>])(\w[\w .\-()]{{0,58}}\.(?:{'|'.join(lists.all_extensions())}))"""
              rf"{NOT_BEFORE_WORD}")
-HEADER_LINE = rf"^([A-Za-z][A-Za-z0-9\-]{{1,40}})[{WS}]*:[{WS}]?([\s\S]*)\z"
+HEADER_LINE = rf"^[A-Za-z][A-Za-z0-9\-]{{1,40}}[{WS}]*:"
 ANCHOR = (rf"""(?i)<a{NOT_BEFORE_WORD}[^>]*href[{WS}]*=[{WS}]*(?:"([^"]*)"|'([^']*)'|([^{WS}>]+))[^>]*>"""
           r"""([\s\S]*?)</a>""")
 HTML_TAG = (rf"(?i)<[{WS}]*/?[{WS}]*(?:html|head|body|table|tr|td|div|span|p|a|img|font|br|meta|style|form|input)"

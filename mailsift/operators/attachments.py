@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from mailsift.data import catalogue, lists
-from mailsift.functions.columns import compact, let, offsets
+from mailsift.data import lists
+from mailsift.functions.columns import among, compact, gaps, let, offsets, once
 from mailsift.functions.regex import FILE_NAME, NOT_BEFORE_WORD
-from mailsift.operators.findings import FINDING, finding, no_findings
+from mailsift.operators.findings import finding, no_findings
 
 FILE = "struct<name:string,start:int,end:int>"
 # Ordered: the first group that holds an extension decides the rule.
@@ -24,7 +24,7 @@ def mentions(body):
                                z["start"] + F.length(z["hit"]) - F.length(z["name"]),
                                z["start"] + F.length(z["hit"])).cast(FILE)))
 
-    found = F.struct(F.split(body, FILE_NAME).alias("gaps"),
+    found = F.struct(gaps(body, FILE_NAME).alias("gaps"),
                      F.regexp_extract_all(body, F.lit(FILE_NAME), F.lit(0)).alias("hits"),
                      F.regexp_extract_all(body, F.lit(FILE_NAME), F.lit(1)).alias("names"))
     return F.coalesce(F.when(body.rlike(_EXTENSION_SEEN), let(found, build)), F.array().cast(f"array<{FILE}>"))
@@ -36,11 +36,15 @@ def outside(files, spans):
         ss, lambda s: (f["start"] >= s["start"]) & (f["end"] <= s["end"]))))
 
 
+@once
+def _files():
+    spans = F.transform("urls", lambda u: F.struct(u["start"].alias("start"), u["end"].alias("end")))
+    return F.array_distinct(F.transform(outside(mentions(F.col("body")), spans), lambda f: f["name"]))
+
+
 def with_files(df):
     """Adds files: distinct names outside of links; needs urls."""
-    spans = F.transform("urls", lambda u: F.struct(u["start"].alias("start"), u["end"].alias("end")))
-    return df.withColumn("files", F.array_distinct(F.transform(
-        outside(mentions(F.col("body")), spans), lambda f: f["name"])))
+    return df.withColumn("files", _files())
 
 
 def extension(name):
@@ -60,7 +64,7 @@ def file_rules(name):
     """Rules that a file name shows, in the order they are tested."""
     by_group = F.when(F.lit(False), F.lit(""))
     for group, rule in GROUP_RULES:
-        by_group = by_group.when(extension(name).isin(lists.EXTENSION_GROUPS[group]), F.lit(rule))
+        by_group = by_group.when(among(extension(name), lists.EXTENSION_GROUPS[group]), F.lit(rule))
     return compact(
         F.when(is_double_extension(name), F.lit("double_extension")),
         F.when(name.rlike("[\\u202D\\u202E]"), F.lit("rtl_override_filename")),
@@ -68,21 +72,20 @@ def file_rules(name):
         F.when(is_generic_name(name), F.lit("unusual_attachment_name")))
 
 
-def with_attachment_findings(df):
-    """Adds attachment_findings: one per rule, in order of the first file that shows it."""
-    meta = F.create_map(*[x for r in catalogue.ATTACHMENT_RULES for x in (F.lit(r.rule_id), finding(r.rule_id))])
-
+@once
+def _findings():
     def build(files):
         shown = F.array_distinct(F.flatten(F.transform(files, lambda f: f["rules"])))
-        return F.transform(shown, lambda rule: let(F.element_at(meta, rule), lambda m: F.struct(
-            rule, m["points"], m["severity"], m["sev_rank"],
-            F.slice(F.transform(F.filter(files, lambda f: F.array_contains(f["rules"], rule)),
-                                lambda f: f["name"]), 1, 5),
-            F.lit(None).cast("string")).cast(FINDING)))
+        return F.transform(shown, lambda rule: finding(rule, F.slice(F.transform(
+            F.filter(files, lambda f: F.array_contains(f["rules"], rule)), lambda f: f["name"]), 1, 5)))
 
     tagged = F.transform("files", lambda n: F.struct(n.alias("name"), file_rules(n).alias("rules")))
-    return df.withColumn("attachment_findings", F.when(F.size("files") > 0, let(tagged, build))
-                         .otherwise(no_findings()))
+    return F.when(F.size("files") > 0, let(tagged, build)).otherwise(no_findings())
+
+
+def with_attachment_findings(df):
+    """Adds attachment_findings: one per rule, in order of the first file that shows it."""
+    return df.withColumn("attachment_findings", _findings())
 
 
 def ext_group():

@@ -3,24 +3,35 @@
 from pyspark.sql import functions as F
 
 from mailsift.data import catalogue, lists
+from mailsift.functions.columns import constant, let
 
 FINDING = ("struct<rule_id:string,points:int,severity:string,sev_rank:int,"
            "evidence:array<string>,extra:string>")
 
 
+BARE = "struct<rule_id:string,evidence:array<string>,extra:string>"
+
+
 def finding(rule_id, evidence=(), extra=None):
-    """One finding; metadata that the score needs travels with it."""
-    rule = catalogue.RULE_BY_ID[rule_id]
-    evidence = evidence if not isinstance(evidence, (list, tuple)) else F.array(*evidence).cast("array<string>")
-    return F.struct(
-        F.lit(rule_id).alias("rule_id"), F.lit(rule.points).alias("points"),
-        F.lit(rule.severity).alias("severity"), F.lit(lists.SEVERITIES[rule.severity][0]).alias("sev_rank"),
-        evidence.alias("evidence"),
-        (F.lit(None).cast("string") if extra is None else extra).alias("extra")).cast(FINDING)
+    """A finding of one rule (an id or a column with one) before its metadata is added."""
+    evidence = evidence if not isinstance(evidence, (list, tuple)) else (
+        F.array(*evidence) if evidence else constant("cast(array() as array<string>)"))
+    return F.struct((F.lit(rule_id) if isinstance(rule_id, str) else rule_id).alias("rule_id"),
+                    evidence.alias("evidence"),
+                    (constant("cast(null as string)") if extra is None else extra).alias("extra"))
 
 
 def no_findings():
-    return F.array().cast(f"array<{FINDING}>")
+    return constant(f"cast(array() as array<{BARE}>)")
+
+
+def with_metadata(findings):
+    """Adds what the score needs of each finding's rule, from one constant map (59 rows)."""
+    meta = constant("map({})".format(", ".join(
+        f"'{r.rule_id}', named_struct('points', {r.points}, 'severity', '{r.severity}', "
+        f"'sev_rank', {lists.SEVERITIES[r.severity][0]})" for r in catalogue.ALL_RULES)))
+    return F.transform(findings, lambda f: let(F.element_at(meta, f["rule_id"]), lambda m: F.struct(
+        f["rule_id"], m["points"], m["severity"], m["sev_rank"], f["evidence"], f["extra"]).cast(FINDING)))
 
 
 def rows(df, column, *keep):

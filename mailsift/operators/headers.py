@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from mailsift.data import catalogue, lists
 from mailsift.functions import domains
-from mailsift.functions.columns import compact, let, text_list, trim
+from mailsift.functions.columns import among, compact, let, once, text_list, trim
 from mailsift.functions.regex import HEADER_LINE, NOT_AFTER_WORD, NOT_BEFORE_WORD, WS, WS_IN_LINE
 from mailsift.operators.findings import finding, no_findings
 
@@ -24,17 +24,18 @@ def _unfold(lines):
     """Fields of a block whose first line is a field: folds are joined to it by one space."""
     joined = F.array_join(F.transform(lines, lambda x: F.when(
         x.rlike(r"^[ \t]"), F.concat(F.lit(" "), trim(x))).otherwise(F.concat(
-            F.lit("\n"), F.lower(F.regexp_extract(x, HEADER_LINE, 1)), F.lit(":"),
-            trim(F.regexp_extract(x, HEADER_LINE, 2))))), "")
+            F.lit("\n"), F.lower(trim(F.substring_index(x, ":", 1))), F.lit(":"),
+            trim(F.substr(x, F.locate(":", x) + 1))))), "")
     fields = F.filter(F.split(joined, "\n"), lambda x: x != "")
     return F.transform(fields, lambda x, i: let(F.substring_index(x, ":", 1), lambda key: F.struct(
         (i + 1).alias("pos"), key.alias("key"),
         F.substr(x, F.length(key) + 2).alias("value"))))
 
 
-def _block(text):
+@once
+def _block():
     """Read the header block; the state machine over lines is a pattern over their kinds."""
-    n = lists.MAX_HEADER_LINES
+    n, text = lists.MAX_HEADER_LINES, F.col("text")
 
     def parse(all_lines):
         head = F.slice(all_lines, 1, n)
@@ -65,14 +66,21 @@ def _last_values(fields):
         F.filter(fields, lambda x: x["key"] == k), -1)["value"])))
 
 
+@once
+def _headers():
+    return let(F.coalesce(F.col("block")["fields"], F.array().cast(f"array<{_FIELD}>")), _last_values)
+
+
+@once
+def _is_header_block():
+    strong = F.size(F.array_intersect(F.map_keys("headers"), text_list(lists.STRONG_HEADERS)))
+    return F.coalesce((F.col("block")["collected"] >= 2) & (strong >= 2), F.lit(False))
+
+
 def with_headers(df):
     """Adds block, headers (map), headers_found and body."""
-    df = df.withColumn("block", _block(F.col("text")))
-    fields = F.coalesce(F.col("block")["fields"], F.array().cast(f"array<{_FIELD}>"))
-    df = df.withColumn("headers", let(fields, _last_values))
-    strong = F.size(F.array_intersect(F.map_keys("headers"), text_list(lists.STRONG_HEADERS)))
-    df = df.withColumn("headers_found", F.coalesce(
-        (F.col("block")["collected"] >= 2) & (strong >= 2), F.lit(False)))
+    df = df.withColumn("block", _block()).withColumn("headers", _headers())
+    df = df.withColumn("headers_found", _is_header_block())
     return df.withColumn("body", F.when(F.col("headers_found"), F.col("block")["body"]).otherwise(F.col("text")))
 
 
@@ -101,8 +109,8 @@ def auth_verdict(key):
     return F.lower(F.regexp_extract(blob, rf"(?i){NOT_AFTER_WORD}{key}[{WS}]*=[{WS}]*([a-z]+)", 1))
 
 
-def with_sender(df):
-    """Adds sender: one struct per message, null without a header block."""
+@once
+def _sender():
     sender, reply, bounce = address(header("from")), address(header("reply-to")), address(header("return-path"))
     spf_line = F.lower(F.regexp_extract(
         header("received-spf"), rf"(?i)^[{WS}]*(pass|fail|softfail|neutral|none|permerror|temperror)", 1))
@@ -121,7 +129,12 @@ def with_sender(df):
         spf.alias("spf"), auth_verdict("dkim").alias("dkim"), auth_verdict("dmarc").alias("dmarc"),
         header("authentication-results").alias("authentication_results"),
         F.size(F.map_keys("headers")).cast("bigint").alias("header_count")))
-    return df.withColumn("sender", F.when(F.col("headers_found"), fields))
+    return F.when(F.col("headers_found"), fields)
+
+
+def with_sender(df):
+    """Adds sender: one struct per message, null without a header block."""
+    return df.withColumn("sender", _sender())
 
 
 def business_words(text):
@@ -148,7 +161,7 @@ def _rules(s):
             F.when(brand.isNotNull() & known & ~domains.brand_owns(brand, reg), finding(
                 "display_name_spoof", [F.concat(F.lit('"'), s["from_display"], F.lit('" <'),
                                                 s["from_address"], F.lit(">"))])),
-            F.when(known & reg.isin(lists.FREE_MAIL_DOMAINS) & (brand.isNotNull() | business_words(
+            F.when(known & among(reg, lists.FREE_MAIL_DOMAINS) & (brand.isNotNull() | business_words(
                 F.concat_ws(" ", s["from_display"], s["subject"]))),
                 finding("free_mail_sender", [s["from_address"]])),
             F.when(differs(s["return_path_domain"]), finding(
@@ -168,9 +181,13 @@ def _rules(s):
     return let(domains.brand_in_display(s["from_display"]), build)
 
 
+@once
+def _findings():
+    return F.when(F.col("headers_found"), let(F.col("sender"), _rules)).otherwise(no_findings())
+
+
 def with_header_findings(df):
-    return df.withColumn("header_findings", F.when(
-        F.col("headers_found"), let(F.col("sender"), _rules)).otherwise(no_findings()))
+    return df.withColumn("header_findings", _findings())
 
 
 def _notes(s):
@@ -196,9 +213,14 @@ def _fill(template, args):
     return parts
 
 
-def with_notes(df):
-    """Adds notes: zero-point context on authentication."""
+@once
+def _notes_column():
     severity, title, text = catalogue.NOTES["no_headers"]
     absent = F.array(F.struct(F.lit(severity).alias("severity"), F.lit(title).alias("title"),
                               F.lit(text).alias("text")))
-    return df.withColumn("notes", F.when(F.col("headers_found"), let(F.col("sender"), _notes)).otherwise(absent))
+    return F.when(F.col("headers_found"), let(F.col("sender"), _notes)).otherwise(absent)
+
+
+def with_notes(df):
+    """Adds notes: zero-point context on authentication."""
+    return df.withColumn("notes", _notes_column())

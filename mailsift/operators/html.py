@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from mailsift.data import lists
 from mailsift.functions import domains
-from mailsift.functions.columns import collapse_spaces, compact, let, trim
+from mailsift.functions.columns import among, collapse_spaces, compact, let, once, trim
 from mailsift.functions.regex import ANCHOR, HOST_IN_TEXT, HTML_TAG, NOT_BEFORE_WORD, jvm
 from mailsift.operators.findings import finding, no_findings
 from mailsift.operators.urls import parse
@@ -50,15 +50,19 @@ def anchors(html):
     return F.transform(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0)), anchor)
 
 
-def with_html(df):
-    """Adds html_found, anchors and remote_hosts."""
-    df = df.withColumn("html_found", is_html(F.col("text")))
+@once
+def _structure():
     hosts = F.slice(F.array_distinct(F.transform(
         F.regexp_extract_all("text", F.lit(_REMOTE), F.lit(1)), F.lower)), 1, 8)
-    return df.withColumns({
+    return {
         "anchors": F.when(F.col("html_found"), anchors(F.col("text")))
         .otherwise(F.array().cast(f"array<{ANCHOR_TYPE}>")),
-        "remote_hosts": F.when(F.col("html_found"), hosts).otherwise(F.array().cast("array<string>"))})
+        "remote_hosts": F.when(F.col("html_found"), hosts).otherwise(F.array().cast("array<string>"))}
+
+
+def with_html(df):
+    """Adds html_found, anchors and remote_hosts."""
+    return df.withColumn("html_found", is_html(F.col("text"))).withColumns(_structure())
 
 
 def _mismatch(a):
@@ -70,11 +74,12 @@ def _mismatch(a):
     return F.when(a["host"] != "", let(names, lambda n: F.when(
         (n["real"] != "") & (n["shown"] != "") & (n["shown"] != n["real"]),
         F.concat(quoted, F.lit(" actually points to "), a["host"])).when(
-        (n["real"] != "") & (n["shown"] == "") & n["real"].isin(lists.SHORTENERS),
+        (n["real"] != "") & (n["shown"] == "") & among(n["real"], lists.SHORTENERS),
         F.concat(quoted, F.lit(" is a shortened link to "), a["host"]))))
 
 
-def with_html_findings(df):
+@once
+def _findings():
     text = F.col("text")
     hidden = F.regexp_extract_all(text, F.lit(_HIDDEN), F.lit(0))
     codes = F.struct(F.regexp_count(text, F.lit(_ENTITY)).alias("entities"),
@@ -102,4 +107,8 @@ def with_html_findings(df):
 
     parts = F.struct(hidden.alias("hidden"), F.col("remote_hosts").alias("remote"), codes.alias("codes"),
                      mismatches.alias("mismatches"))
-    return df.withColumn("html_findings", F.when(F.col("html_found"), let(parts, build)).otherwise(no_findings()))
+    return F.when(F.col("html_found"), let(parts, build)).otherwise(no_findings())
+
+
+def with_html_findings(df):
+    return df.withColumn("html_findings", _findings())

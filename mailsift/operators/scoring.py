@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from mailsift.data import catalogue, lists
-from mailsift.functions.columns import compact, first_of_each, let, text_list
-from mailsift.operators.findings import finding
+from mailsift.functions.columns import compact, constant, first_of_each, let, once, sql_text, text_list
+from mailsift.operators.findings import finding, with_metadata
 
 PARTS = ["text_findings", "url_findings", "attachment_findings", "html_findings", "header_findings"]
 
@@ -14,10 +14,8 @@ def with_hosts(df):
     return df.withColumn("hosts", F.array_distinct(F.transform("urls", lambda u: u["host"])))
 
 
-def with_findings(df):
-    """Adds base_findings (all but combinations) and findings (with them), in order of insertion."""
-    df = df.withColumn("base_findings", F.concat(*PARTS))
-
+@once
+def _findings():
     def combos(ids):
         def combo(rule):
             first, second = catalogue.COMBO_CLAUSES[rule.rule_id]
@@ -26,10 +24,15 @@ def with_findings(df):
                           finding(rule.rule_id, shown))
         return compact(*[combo(r) for r in catalogue.COMBO_RULES])
 
-    return df.withColumn("findings", F.concat("base_findings", let(
+    return with_metadata(F.concat("base_findings", let(
         F.transform("base_findings", lambda f: f["rule_id"]), combos)))
 
 
+def with_findings(df):
+    """Adds base_findings (all but combinations) and findings (with them), in order of insertion."""
+    return df.withColumn("base_findings", F.concat(*PARTS)).withColumn("findings", _findings())
+
+
 def band_of(score):
     chain = F.when(F.lit(False), F.lit(""))
     for band, low, high, _, _ in catalogue.BANDS:
@@ -41,16 +44,25 @@ def _is_severity(severity):
     return lambda f: f["severity"] == severity
 
 
-def with_score(df):
-    """Adds raw_score, score, capped, band and a count per severity."""
-    df = df.withColumn("raw_score", F.aggregate(
-        "findings", F.lit(0).cast("bigint"), lambda acc, f: acc + f["points"]))
-    df = df.withColumn("score", F.least(F.col("raw_score"), F.lit(lists.MAX_SCORE).cast("bigint")))
+@once
+def _raw_score():
+    return F.aggregate("findings", F.lit(0).cast("bigint"), lambda acc, f: acc + f["points"])
+
+
+@once
+def _statistics():
     count = lambda condition: F.size(F.filter("findings", condition)).cast("bigint")
-    return df.withColumns({
+    return {
         "capped": F.col("raw_score") > lists.MAX_SCORE, "band": band_of(F.col("score")),
         **{f"n_{s}": count(_is_severity(s)) for s in lists.SEVERITIES},
-        "n_counted": count(lambda f: f["points"] > 0)})
+        "n_counted": count(lambda f: f["points"] > 0)}
+
+
+def with_score(df):
+    """Adds raw_score, score, capped, band and a count per severity."""
+    df = df.withColumn("raw_score", _raw_score())
+    df = df.withColumn("score", F.least(F.col("raw_score"), F.lit(lists.MAX_SCORE).cast("bigint")))
+    return df.withColumns(_statistics())
 
 
 def ordered(findings, documented=False):
@@ -74,9 +86,10 @@ def _standing(key):
     return _advice_item(F.lit(tag), F.lit(text))
 
 
-def with_recommendations(df):
-    """Adds recommendations: ordered advice, each once, at most eight."""
-    advice_of = F.create_map(*[x for r in catalogue.ALL_RULES for x in (F.lit(r.rule_id), F.lit(r.advice))])
+@once
+def _recommendations():
+    advice_of = constant("map({})".format(", ".join(
+        f"'{r.rule_id}', {sql_text(r.advice)}" for r in catalogue.ALL_RULES)))
     scoring = F.filter(ordered(F.col("findings")), lambda x: x["f"]["points"] > 0)
     own = F.transform(scoring, lambda x: _advice_item(
         F.lit(catalogue.FINDING_ADVICE_TAG), F.element_at(advice_of, x["f"]["rule_id"])))
@@ -95,5 +108,9 @@ def with_recommendations(df):
                        F.when(F.col("n_counted") == 0, _standing("quiet")),
                        _standing("keep_evidence"))), key))
 
-    return df.withColumn("recommendations", F.slice(
-        let(first_of_each(candidates, key), close), 1, catalogue.MAX_ADVICE))
+    return F.slice(let(first_of_each(candidates, key), close), 1, catalogue.MAX_ADVICE)
+
+
+def with_recommendations(df):
+    """Adds recommendations: ordered advice, each once, at most eight."""
+    return df.withColumn("recommendations", _recommendations())

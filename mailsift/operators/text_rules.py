@@ -1,51 +1,57 @@
-"""Language rules over the body."""
-
-from functools import reduce
+"""Language rules over the body, written as Spark SQL text generated from the catalogue."""
 
 from pyspark.sql import functions as F
 
 from mailsift.data import catalogue
-from mailsift.functions.columns import collapse_spaces, compact, let
+from mailsift.functions.columns import MARK, STAND_IN, constant, once, sql_text
 from mailsift.functions.gates import gate
-from mailsift.functions.regex import jvm
-from mailsift.operators.findings import finding
+from mailsift.functions.regex import SPACE, jvm
+from mailsift.operators.findings import BARE
 
 MARGIN = 45
+MAX_SNIPPETS = 3
 
 
-def _hit(pattern):
-    return gate(F.col("lowered"), pattern) & F.col("body").rlike(jvm(pattern))
+@once
+def hit_columns():
+    """One boolean per rule; any of its patterns fires it. Cheap word tests come first."""
+    test = lambda p: f"({gate('lowered', p)} and body rlike {sql_text(jvm(p))})"
+    return {f"hit_{r.rule_id}": constant(" or ".join(map(test, r.patterns))) for r in catalogue.TEXT_RULES}
 
 
 def with_text_hits(df):
-    """Adds one boolean ``hit_<rule>`` per language rule; any pattern of a rule fires it."""
-    df = df.withColumn("lowered", F.lower("body"))
-    return df.withColumns({f"hit_{r.rule_id}": reduce(lambda a, b: a | b, [_hit(p) for p in r.patterns])
-                           for r in catalogue.TEXT_RULES}).drop("lowered")
+    """Adds ``hit_<rule>`` per language rule."""
+    return df.withColumn("lowered", F.lower("body")).withColumns(hit_columns()).drop("lowered")
 
 
 def _snippet(pattern):
-    """First match of a pattern with its surroundings, null without a match."""
-    p = jvm(pattern)
-    body = F.col("body")
-    cut = F.struct(F.element_at(F.split(body, p, 2), 1).alias("before"),
-                   F.regexp_substr(body, F.lit(p)).alias("match"), body.alias("body"))
-    return F.when(body.rlike(p), let(cut, lambda c: F.struct(
-        collapse_spaces(F.concat(F.right(c["before"], F.lit(MARGIN)), c["match"], F.substr(
-            c["body"], F.length(c["before"]) + F.length(c["match"]) + 1, F.lit(MARGIN)))).alias("text"),
-        c["match"].alias("match"))))
-
-
-def snippets(rule):
-    """At most three snippets of a rule, in pattern order."""
-    return F.slice(compact(*[_snippet(p) for p in rule.patterns]), 1, 3)
+    """SQL for the first match of a pattern with its surroundings; null without a match."""
+    p, mark = sql_text(jvm(pattern)), sql_text(MARK)
+    before = f"substring_index(regexp_replace(replace(body, {mark}, {sql_text(STAND_IN)}), {p}, {mark}), {mark}, 1)"
+    found = f"named_struct('start', length({before}), 'match', regexp_extract(body, {p}, 0), 'body', body)"
+    around = (f"substring(m.body, greatest(m.start - {MARGIN}, 0) + 1, "
+              f"least(m.start, {MARGIN}) + length(m.match) + {MARGIN})")
+    tidy = (f"regexp_replace(regexp_replace({around}, {sql_text(f'{SPACE}+')}, ' '), "
+            f"{sql_text(r'^ | \z')}, '')")
+    return (f"if(body rlike {p}, element_at(transform(array({found}), "
+            f"m -> named_struct('text', {tidy}, 'match', m.match)), 1), null)")
+
+
+def snippets_sql(rule):
+    """SQL for at most three snippets of a rule, in pattern order."""
+    found = f"filter(array({', '.join(map(_snippet, rule.patterns))}), x -> x is not null)"
+    return f"slice({found}, 1, {MAX_SNIPPETS})"
+
+
+@once
+def findings_column(evidence):
+    def found(rule):
+        shown = f"transform({snippets_sql(rule)}, s -> s.text)" if evidence else "array()"
+        return (f"if(hit_{rule.rule_id}, cast(named_struct('rule_id', '{rule.rule_id}', 'evidence', {shown}, "
+                f"'extra', null) as {BARE}), null)")
+    return constant(f"filter(array({', '.join(map(found, catalogue.TEXT_RULES))}), x -> x is not null)")
 
 
 def with_text_findings(df, evidence=True):
     """Adds text_findings. Without evidence only the hits are read and the text is scanned once."""
-    def found(rule):
-        if not evidence:
-            return finding(rule.rule_id)
-        return finding(rule.rule_id, F.transform(snippets(rule), lambda s: s["text"]))
-    return df.withColumn("text_findings", compact(*[
-        F.when(F.col(f"hit_{r.rule_id}"), found(r)) for r in catalogue.TEXT_RULES]))
+    return df.withColumn("text_findings", findings_column(evidence))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from mailsift.data import catalogue, lists
 from mailsift.functions import domains
-from mailsift.functions.columns import compact, first_of_each, let, offsets, text_list
+from mailsift.functions.columns import among, compact, first_of_each, gaps, let, offsets, once, text_list
 from mailsift.functions.regex import BARE_HOST, NOT_BEFORE_WORD, SCHEME_URL, jvm
-from mailsift.operators.findings import FINDING, finding, no_findings
+from mailsift.operators.findings import finding, no_findings
 from mailsift.operators.headers import _fill
 
 _PARSED = ("raw:string,normalized:string,scheme:string,host:string,port:string,userinfo:string,tail:string")
@@ -69,7 +69,7 @@ def _scheme_links(body):
             z["start"].alias("start"), (z["start"] + F.length(p["raw"])).alias("end"),
             (p["normalized"] != p["raw"]).alias("defanged"), F.lit(False).alias("bare"))).cast(URL))
 
-    found = F.struct(F.split(body, SCHEME_URL).alias("gaps"),
+    found = F.struct(gaps(body, SCHEME_URL).alias("gaps"),
                      F.regexp_extract_all(body, F.lit(SCHEME_URL), F.lit(0)).alias("hits"))
     return F.when(F.contains(body, F.lit("//")), let(found, build))
 
@@ -97,16 +97,17 @@ def _bare_links(body, kept, scheme_keys):
             z["start"], z["start"] + F.length(z["hit"]), F.lit(False), F.lit(True)).cast(URL))
 
     def search(text):
-        return let(F.struct(F.split(text, BARE_HOST).alias("gaps"),
+        return let(F.struct(gaps(text, BARE_HOST).alias("gaps"),
                             F.regexp_extract_all(text, F.lit(BARE_HOST), F.lit(0)).alias("hits")), build)
 
     hosts = let(masked, lambda m: F.when(m.rlike(_SUFFIX_SEEN), search(m)))
     return first_of_each(F.coalesce(hosts, F.array().cast(f"array<{URL}>")), lambda u: u["normalized"])
 
 
-def extract(body):
-    """Distinct links of a text: those with a scheme first, then bare hosts, each in text order."""
-    no_urls = F.array().cast(f"array<{URL}>")
+@once
+def _urls():
+    """Distinct links of the body: those with a scheme first, then bare hosts, each in text order."""
+    body, no_urls = F.col("body"), F.array().cast(f"array<{URL}>")
 
     def combine(s):
         links = F.coalesce(s["links"], no_urls)
@@ -128,7 +129,7 @@ def extract(body):
 
 def with_urls(df):
     """Adds urls."""
-    return df.withColumn("urls", extract(F.col("body")))
+    return df.withColumn("urls", _urls())
 
 
 def _flags(u, reg):
@@ -144,8 +145,8 @@ def _flags(u, reg):
         brand, typo, suffix = x["brand"], x["typo"], domains.last_label(host)
         return compact(
             F.when(domains.is_ip(host), flag("ip_address_url")),
-            F.when(reg.isin(lists.SHORTENERS), flag("shortened_url")),
-            F.when(suffix.isin(lists.RISKY_TLDS), flag("risky_tld", suffix)),
+            F.when(among(reg, lists.SHORTENERS), flag("shortened_url")),
+            F.when(among(suffix, lists.RISKY_TLDS), flag("risky_tld", suffix)),
             F.when(brand.isNotNull() & ~domains.brand_owns(brand, reg), flag(
                 "brand_lookalike_domain", domains.brand_name(brand), domains.brand_domain_list(brand))),
             F.when(typo.isNotNull(), flag(
@@ -162,19 +163,23 @@ def _flags(u, reg):
     return let(F.struct(domains.brand_in_host(host).alias("brand"), domains.typosquat(host, reg).alias("typo")), build)
 
 
-def with_url_flags(df):
-    """Adds links: the urls with registrable domain and flags."""
+@once
+def _links():
     detail = lambda u: let(domains.registrable(u["host"]), lambda reg: F.struct(
         *[u[f].alias(f) for f in ("raw", "normalized", "scheme", "host", "port", "userinfo", "tail",
                                   "start", "end", "defanged", "bare")],
         reg.alias("registrable"), _flags(u, reg).alias("flags")).cast(DETAIL))
-    return df.withColumn("links", F.transform("urls", detail))
+    return F.transform("urls", detail)
 
 
-def with_url_findings(df):
-    """Adds url_findings: one per rule, in order of the first link that shows it."""
+def with_url_flags(df):
+    """Adds links: the urls with registrable domain and flags."""
+    return df.withColumn("links", _links())
+
+
+@once
+def _findings():
     scored = text_list([r.rule_id for r in catalogue.LINK_RULES])
-    meta = F.create_map(*[x for r in catalogue.LINK_RULES for x in (F.lit(r.rule_id), finding(r.rule_id))])
 
     def build(links):
         shown = F.array_intersect(F.flatten(F.transform(links, lambda d: F.transform(d["flags"], lambda f: f["id"]))),
@@ -182,12 +187,13 @@ def with_url_findings(df):
         return F.transform(shown, lambda rule: let(F.filter(
             F.transform(links, lambda d: F.struct(d["raw"].alias("raw"), F.get(F.filter(
                 d["flags"], lambda f: f["id"] == rule), F.lit(0))["note"].alias("note"))),
-            lambda h: h["note"].isNotNull()), lambda hits: let(
-                F.element_at(meta, rule), lambda m: F.struct(
-                    rule, m["points"], m["severity"], m["sev_rank"],
-                    F.slice(F.transform(hits, lambda h: h["raw"]), 1, 4),
-                    F.array_join(F.slice(F.array_distinct(F.transform(hits, lambda h: h["note"])), 1, 2), " "))
-                .cast(FINDING))))
-
-    return df.withColumn("url_findings", F.when(F.size("urls") > 0, let(F.col("links"), build))
-                         .otherwise(no_findings()))
+            lambda h: h["note"].isNotNull()), lambda hits: finding(
+                rule, F.slice(F.transform(hits, lambda h: h["raw"]), 1, 4),
+                F.array_join(F.slice(F.array_distinct(F.transform(hits, lambda h: h["note"])), 1, 2), " "))))
+
+    return F.when(F.size("urls") > 0, let(F.col("links"), build)).otherwise(no_findings())
+
+
+def with_url_findings(df):
+    """Adds url_findings: one per rule, in order of the first link that shows it."""
+    return df.withColumn("url_findings", _findings())
