@@ -62,7 +62,7 @@ def offsets(gaps, hits):
         lambda acc, z: F.struct(
             (acc["pos"] + F.length(z["gap"]) + F.coalesce(F.length(z["hit"]), F.lit(0))).alias("pos"),
             F.array_append(acc["starts"], acc["pos"] + F.length(z["gap"])).alias("starts")),
-        lambda acc: acc["starts"])
+        lambda acc: F.slice(acc["starts"], 1, F.size(hits)))
 
 
 def once(build):

@@ -97,11 +97,11 @@ def brand_owns(number, domain):
 
 
 def brand_name(number):
-    return F.element_at(text_list([b[0] for b in lists.BRANDS]), number)
+    return F.try_element_at(text_list([b[0] for b in lists.BRANDS]), number)
 
 
 def brand_domain_list(number):
-    return F.element_at(text_list([", ".join(b[2]) for b in lists.BRANDS]), number)
+    return F.try_element_at(text_list([", ".join(b[2]) for b in lists.BRANDS]), number)
 
 
 def typosquat(host, reg):
