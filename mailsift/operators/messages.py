@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from mailsift.data import lists
+from mailsift.functions.columns import collapse_spaces, let
 from mailsift.functions.regex import WS
 
 
@@ -20,4 +21,5 @@ def prepare(messages):
 
 def with_words(df):
     """Adds the number of words in the body."""
-    return df.withColumn("words", F.regexp_count("body", F.lit(rf"[^{WS}]+")).cast("bigint"))
+    return df.withColumn("words", let(collapse_spaces(F.col("body")), lambda t: F.when(t == "", 0).otherwise(
+        F.length(t) - F.length(F.replace(t, F.lit(" "))) + 1)).cast("bigint"))

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+TASKS_PER_CORE = 8
+
 
 def read_eml(spark, path, glob="*.eml"):
     """One message per file; the id is a hash of the path."""
@@ -16,9 +18,12 @@ def read_table(spark, path, id_column, text_column, fmt="parquet"):
 
 
 def spread(df):
-    """Use all cores when the input has fewer splits than there are; a large input is left as it is."""
+    """Use all cores when the input has fewer splits than there are; a large input is left as it is.
+
+    Several small tasks per core even out long and short texts.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(TASKS_PER_CORE * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def write_partitioned(df, path, fmt="parquet", by="band"):
