@@ -1,5 +1,7 @@
 """Named queries over a data directory; all of them read whole tables."""
 
+import functools
+
 from pyspark.sql import functions as F
 
 from mailsift.data import lists
@@ -21,34 +23,55 @@ def query(build):
     return build
 
 
+def planned(build):
+    """Analyse a shared plan once per session and directory; nothing is computed or stored."""
+    plans = {}
+
+    @functools.wraps(build)
+    def get(spark, d, **options):
+        key = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), d, *options.values())
+        if key not in plans:
+            plans[key] = build(spark, d, **options)
+        return plans[key]
+    return get
+
+
+@planned
 def _prepared(spark, d):
     return messages.prepare(spread(mail.messages(spark, d)))
 
 
+@planned
 def _headers(spark, d):
     return headers.with_headers(_prepared(spark, d))
 
 
+@planned
 def _sender(spark, d):
     return headers.with_sender(_headers(spark, d))
 
 
+@planned
 def _urls(spark, d):
     return urls.with_urls(_headers(spark, d))
 
 
+@planned
 def _links(spark, d):
     return urls.with_url_flags(_urls(spark, d))
 
 
+@planned
 def _files(spark, d):
     return attachments.with_files(_urls(spark, d))
 
 
+@planned
 def _html(spark, d):
     return html.with_html(_prepared(spark, d))
 
 
+@planned
 def _analysed(spark, d, evidence=False):
     return analyse(spread(mail.messages(spark, d)), evidence)
 
