@@ -5,6 +5,7 @@ expressions of the package. Its regular expressions are those of RE2: ``\\b``
 looks at ASCII characters only and there is no lookaround.
 """
 
+import functools
 import re
 
 from mailsift.data import catalogue as cat
@@ -503,30 +504,25 @@ cte("page_link", "SELECT page_id AS msg_id, url AS raw FROM pages")
 parsed("page_url", "page_link", "raw")
 
 
-def _needed(sql, found):
-    for name in CTE:
-        if name not in found and re.search(rf"\b(?:FROM|JOIN) {name}\b", sql):
-            found.add(name)
-            _needed(CTE[name][1], found)
-    return found
+def _reads(sql):
+    """Names of the CTEs that a piece of SQL reads."""
+    return [n for n in dict.fromkeys(re.findall(r"\b(?:FROM|JOIN) (\w+)", sql)) if n in CTE]
 
 
+@functools.cache
 def oracle_sql():
+    reads = {name: _reads(sql) for name, (_, sql) in CTE.items()}
     built = {}
     for key, final in FINAL.items():
-        needed = _needed(final, set())
-        order, done = [], set()
+        order = []
 
         def visit(name):
-            if name not in done:
-                done.add(name)
-                for other in CTE:
-                    if other in needed and other != name and re.search(rf"\b(?:FROM|JOIN) {other}\b", CTE[name][1]):
-                        visit(other)
+            if name not in order:
+                for other in reads[name]:
+                    visit(other)
                 order.append(name)
-        for name in CTE:
-            if name in needed:
-                visit(name)
+        for name in _reads(final):
+            visit(name)
         head = ",\n".join(f"{n} AS {CTE[n][0]}({CTE[n][1]})" for n in order)
         built[key] = f"WITH {head}\n{final}"
     return built
