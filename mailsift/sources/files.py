@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-TASKS_PER_CORE = 4
+TASKS_PER_CORE = 8
 
 
 def read_eml(spark, path, glob="*.eml"):
