@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from mailsift.functions.columns import constant
 from mailsift.plans import dims
 from mailsift.plans.tables import each
+from mailsift.sources.shared import cut_lineage
 
 
 def band_distribution(spark, analysed):
@@ -137,16 +138,6 @@ def duplicate_collapse(messages, score):
     return popular.unionByName(others)
 
 
-def cut_lineage(df):
-    """Write a result that is read several times to the checkpoint folder of the cluster."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None)
-                                 or tempfile.mkdtemp(prefix="mailsift-checkpoint-"))
-    return df.checkpoint()
-
-
 def sender_sessions(mails, gap_minutes):
     """Bursts of mails per sender: mails no further apart than the gap belong together.
 
