@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from mailsift.llm import bpe
+from mailsift.llm import bpe, packing
 from mailsift.llm.arrow import table, whole_texts
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -20,3 +20,10 @@ def op6_bpe_tree(spark, sf_dir):
     ids = bpe.encode(whole_texts(table(spark, sf_dir, "documents")), path)
     return bpe.decode(ids, path).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op10_sum_of_squares_packing(spark, sf_dir):
+    # the ranks file holds the same vocabulary and merges as byte_bpe_50k.json
+    cut = packing.pieces(whole_texts(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
