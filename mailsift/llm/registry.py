@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from mailsift.llm import bpe, packing
+from mailsift.llm import bpe, minhash, packing
 from mailsift.llm.arrow import table, whole_texts
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -27,3 +27,8 @@ def op10_sum_of_squares_packing(spark, sf_dir):
     # the ranks file holds the same vocabulary and merges as byte_bpe_50k.json
     cut = packing.pieces(whole_texts(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+@query
+def op3_signature_join(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
