@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from mailsift.llm import bpe, minhash, packing
+from mailsift.llm import bpe, minhash, packing, repeats
 from mailsift.llm.arrow import table, whole_texts
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -32,3 +32,10 @@ def op10_sum_of_squares_packing(spark, sf_dir):
 @query
 def op3_signature_join(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+@query
+def op5_difference_cover(spark, sf_dir):
+    kept = repeats.remove_repeats(whole_texts(table(spark, sf_dir, "documents")), window=13)
+    words = F.btrim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "), F.lit(" "))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
