@@ -54,15 +54,34 @@ def gaps(text, pattern):
     return F.split(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(STAND_IN)), pattern, MARK), MARK)
 
 
+def running(values, start, step, kind="int"):
+    """What ``step`` makes of all values before each one; ``step`` is associative.
+
+    Appending to an array copies it, so the values go in blocks of the square root of
+    their number: first the totals of the blocks, then the values of each block.
+    """
+    def scan(items, first):
+        state = F.struct(first.alias("now"), F.array().cast(f"array<{kind}>").alias("seen"))
+        return F.aggregate(items, state, lambda acc, x: F.struct(
+            step(acc["now"], x).alias("now"), F.array_append(acc["seen"], acc["now"]).alias("seen")),
+            lambda acc: acc["seen"])
+
+    def blocked(v):
+        size = F.greatest(F.ceil(F.sqrt(F.size(v))), F.lit(1)).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")),
+                          lambda k: F.slice(v, k * size + 1, size))
+        zero = F.lit(start).cast(kind)
+        return let(cut, lambda blocks: F.flatten(F.zip_with(
+            blocks, scan(F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, x: step(a, x))), zero), scan)))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, blocked(v)).otherwise(F.array().cast(f"array<{kind}>")))
+
+
 def offsets(gaps, hits):
     """Start of every hit, from the texts between hits and the hits themselves."""
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts"))
-    return F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), zero,
-        lambda acc, z: F.struct(
-            (acc["pos"] + F.length(z["gap"]) + F.coalesce(F.length(z["hit"]), F.lit(0))).alias("pos"),
-            F.array_append(acc["starts"], acc["pos"] + F.length(z["gap"])).alias("starts")),
-        lambda acc: F.slice(acc["starts"], 1, F.size(hits)))
+    return let(F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(
+        F.length(g).alias("gap"), F.length(h).alias("hit"))), lambda z: F.zip_with(
+        running(F.transform(z, lambda x: x["gap"] + x["hit"]), 0, lambda a, b: a + b), z, lambda at, x: at + x["gap"]))
 
 
 def once(build):
