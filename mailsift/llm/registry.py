@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from mailsift.llm import bpe, minhash, packing, repeats
+from mailsift.llm import bpe, minhash, packing, pii, repeats
 from mailsift.llm.arrow import table, whole_texts
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -39,3 +39,11 @@ def op5_difference_cover(spark, sf_dir):
     kept = repeats.remove_repeats(whole_texts(table(spark, sf_dir, "documents")), window=13)
     words = F.btrim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "), F.lit(" "))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
+@query
+def op8_information_sanitisation(spark, sf_dir):
+    found = pii.sanitise(whole_texts(table(spark, sf_dir, "documents")))
+    counts = [F.size(F.filter("base", pii.of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"),
+                        pii.as_text(F.col("spans")).alias("spans"))
