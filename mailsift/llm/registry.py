@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from mailsift.llm import bpe, minhash, packing, pii, repeats
+from mailsift.llm import bpe, fingerprints, minhash, packing, pii, repeats
 from mailsift.llm.arrow import table, whole_texts
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -47,3 +47,10 @@ def op8_information_sanitisation(spark, sf_dir):
     counts = [F.size(F.filter("base", pii.of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"),
                         pii.as_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op2_threshold_sketch(spark, sf_dir):
+    rows = fingerprints.edited_neighbours(whole_texts(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+                       "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_held")
