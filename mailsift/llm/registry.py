@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from mailsift.llm import bpe, fingerprints, minhash, packing, pii, repeats
+from mailsift.llm import bpe, fingerprints, minhash, packing, pii, repeats, reputation
 from mailsift.llm.arrow import table, whole_texts
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -54,3 +54,14 @@ def op2_threshold_sketch(spark, sf_dir):
     rows = fingerprints.edited_neighbours(whole_texts(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
                        "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_held")
+
+
+@query
+def op4_host_reputation(spark, sf_dir):
+    # the label of a page is that of the document of the same number
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), reputation.outcome().alias("bad"))
+    return reputation.judge(table(spark, sf_dir, "pages"), labels).select(
+        "page_id", "host", "path", "rule", "verdict", "labelled", "bad")
+
+
+ORACLE_SQL["op4_host_reputation"] = reputation.oracle_sql()
