@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from mailsift.llm import bpe, fingerprints, minhash, neighbours, packing, pii, repeats, reputation
+from mailsift.llm import bpe, fingerprints, minhash, neighbours, packing, pii, quality, repeats, reputation
 from mailsift.llm.arrow import table, whole_texts
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -70,3 +70,8 @@ ORACLE_SQL["op4_host_reputation"] = reputation.oracle_sql()
 @query
 def op7_multi_index(spark, sf_dir):
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query
+def op9_kneser_ney_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
