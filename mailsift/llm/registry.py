@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from mailsift.llm import bpe, fingerprints, minhash, neighbours, packing, pii, quality, repeats, reputation
+from mailsift.llm import bpe, fingerprints, lm, minhash, neighbours, packing, pii, quality, repeats, reputation
 from mailsift.llm.arrow import table, whole_texts
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -75,3 +75,11 @@ def op7_multi_index(spark, sf_dir):
 @query
 def op9_kneser_ney_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op1_pseudo_likelihood(spark, sf_dir):
+    docs = whole_texts(table(spark, sf_dir, "documents"))
+    return lm.score(docs, lm.train(docs)).select(
+        "doc_id", "n_tokens", "pseudo_log_likelihood",
+        F.try_divide("pseudo_log_likelihood", "n_tokens").alias("mean_log_probability"))
