@@ -1,5 +1,6 @@
 """The queries of this subpackage: each applies an operator to its whole table."""
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -83,3 +84,12 @@ def op1_pseudo_likelihood(spark, sf_dir):
     return lm.score(docs, lm.train(docs)).select(
         "doc_id", "n_tokens", "pseudo_log_likelihood",
         F.try_divide("pseudo_log_likelihood", "n_tokens").alias("mean_log_probability"))
+
+
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
