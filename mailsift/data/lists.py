@@ -137,7 +137,6 @@ CATEGORY_ORDER = [
 SEVERITIES = {"critical": (9, 0), "high": (1, 1), "medium": (2, 2), "low": (3, 3), "info": (4, 4)}
 
 MAX_CHARACTERS = 300_000
-MAX_HEADER_LINES = 120
 MAX_SCORE = 100
 
 

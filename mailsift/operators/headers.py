@@ -10,6 +10,8 @@ from mailsift.operators.findings import finding, no_findings
 
 # Only blank lines may stand in front of the first field.
 _STARTS_WITH_FIELD = rf"\A(?:[{WS}]*\n)?[A-Za-z][A-Za-z0-9\-]{{1,40}}[{WS}]*:"
+# At least all lines of the block; their kinds decide where it ends.
+_FRONT = (rf"\A(?:[{WS_IN_LINE}]*+\n)*+(?:(?:[A-Za-z][A-Za-z0-9\-]{{1,40}}[{WS_IN_LINE}]*+:|[ \t])[^\n]*+(?:\n|\z))*+")
 _FIELD = "struct<pos:int,key:string,value:string>"
 _BLOCK = f"struct<kinds:string,leading:int,collected:int,lines:array<string>,fields:array<{_FIELD}>,body:string>"
 
@@ -35,10 +37,12 @@ def _unfold(lines):
 @once
 def _block():
     """Read the header block; the state machine over lines is a pattern over their kinds."""
-    n, text = lists.MAX_HEADER_LINES, F.col("text")
+    text = F.col("text")
+    front = F.regexp_extract(text, _FRONT, 0)
+    n = F.length(front) - F.length(F.replace(front, F.lit("\n"))) + 2
 
     def parse(all_lines):
-        head = F.slice(all_lines, 1, n)
+        head = F.slice(all_lines, 1, F.size(all_lines))
         kinds = F.array_join(F.transform(head, line_kind), "")
         return let(kinds, lambda k: cut(all_lines, head, k))
 
@@ -50,13 +54,12 @@ def _block():
             F.slice(head, s["leading"] + 1, s["collected"]), lambda block: F.struct(
                 kinds.alias("kinds"), s["leading"].alias("leading"), s["collected"].alias("collected"),
                 block.alias("lines"), _unfold(block).alias("fields"),
-                F.array_join(F.concat(
-                    F.slice(head, s["leading"] + s["collected"] + 1 + F.when(
-                        F.substr(kinds, s["leading"] + s["collected"] + 1, F.lit(1)) == "b", 1).otherwise(0), n),
-                    F.transform(F.slice(all_lines, n + 1, 1), lambda r: F.replace(r, F.lit("\r\n"), F.lit("\n")))),
-                    "\n").alias("body")).cast(_BLOCK)))
+                F.replace(F.array_join(F.slice(head, s["leading"] + s["collected"] + 1 + F.when(
+                    F.substr(kinds, s["leading"] + s["collected"] + 1, F.lit(1)) == "b", 1).otherwise(0),
+                    F.size(head)), "\n"), F.lit("\r\n"), F.lit("\n")).alias("body")).cast(_BLOCK)))
 
-    return F.when(text.rlike(_STARTS_WITH_FIELD), let(F.split(text, r"\r?\n", n + 1), parse))
+    # the last of the lines is all that follows the block
+    return F.when(text.rlike(_STARTS_WITH_FIELD), let(F.split(text, r"\r?\n", n), parse))
 
 
 def _last_values(fields):

@@ -52,8 +52,7 @@ def anchors(html):
 
 @once
 def _structure():
-    hosts = F.slice(F.array_distinct(F.transform(
-        F.regexp_extract_all("text", F.lit(_REMOTE), F.lit(1)), F.lower)), 1, 8)
+    hosts = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_REMOTE), F.lit(1)), F.lower))
     return {
         "anchors": F.when(F.col("html_found"), anchors(F.col("text")))
         .otherwise(F.array().cast(f"array<{ANCHOR_TYPE}>")),

@@ -7,13 +7,17 @@ from mailsift.functions.columns import collapse_spaces, let
 from mailsift.functions.regex import WS
 
 
-def prepare(messages):
-    """``messages(msg_id, raw, ...)`` -> adds text (cut at the limit), characters, truncated, is_empty."""
+def prepare(messages, limit=None):
+    """``messages(msg_id, raw, ...)`` -> adds text, characters, truncated, is_empty.
+
+    ``truncated`` marks texts above the size that the rules were written for. They are read whole
+    unless a ``limit`` of characters is given.
+    """
     raw = F.coalesce(F.col("raw"), F.lit(""))
     characters = F.length(raw)
     return messages.select(
         *[c for c in messages.columns if c != "raw"],
-        F.substring(raw, 1, lists.MAX_CHARACTERS).alias("text"),
+        (F.substring(raw, 1, limit) if limit else raw).alias("text"),
         characters.cast("bigint").alias("characters"),
         (characters > lists.MAX_CHARACTERS).alias("truncated"),
         (~raw.rlike(rf"[^{WS}]")).alias("is_empty"))

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from mailsift.operators import attachments, headers, html, messages, scoring, text_rules, urls
 
 
-def structure(df):
+def structure(df, limit=None):
     """What a message consists of: headers, body, links, files, HTML."""
-    df = headers.with_sender(headers.with_headers(messages.prepare(df)))
+    df = headers.with_sender(headers.with_headers(messages.prepare(df, limit)))
     return html.with_html(attachments.with_files(urls.with_url_flags(urls.with_urls(messages.with_words(df)))))
 
 
@@ -25,9 +25,9 @@ def find(df, evidence=True):
     return scoring.with_findings(scoring.with_hosts(df))
 
 
-def analyse(df, evidence=True):
+def analyse(df, evidence=True, limit=None):
     """``messages(msg_id, raw, ...)`` -> one wide row per message with findings, score and band."""
-    return scoring.with_score(find(structure(df), evidence))
+    return scoring.with_score(find(structure(df, limit), evidence))
 
 
 VERDICT = ["msg_id", "raw_score", "score", "capped", "band", "n_critical", "n_high", "n_medium", "n_low",

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from mailsift.data import catalogue
 from mailsift.functions.columns import constant
 from mailsift.plans import dims
 from mailsift.plans.tables import each
@@ -11,13 +12,13 @@ from mailsift.sources.shared import cut_lineage
 
 def band_distribution(spark, analysed):
     """Messages per band, empty bands included."""
-    counts = analysed.groupBy("band").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
-    every = dims.band(spark).join(counts, "band", "left")
-    n = F.coalesce("n", F.lit(0))
-    whole = Window.partitionBy()
-    return every.select("band", n.alias("messages"),
-                        F.round(n / F.sum(n).over(whole), 6).alias("share"),
-                        F.round(F.coalesce(F.col("total") / F.col("n"), F.lit(0.0)), 6).alias("avg_score"))
+    bands = [b[0] for b in catalogue.BANDS]
+    totals = analysed.select("band", "score").agg(F.count("*").alias("all"), *[c for b in bands for c in (
+        F.count_if(F.col("band") == b).alias(f"n_{b}"), F.sum(F.when(F.col("band") == b, F.col("score"))).alias(f"t_{b}"))])
+    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    return totals.select(F.explode(F.array(*[F.struct(
+        F.lit(b).alias("band"), F.col(f"n_{b}").alias("messages"), ratio(F.col(f"n_{b}"), F.col("all")).alias("share"),
+        ratio(F.col(f"t_{b}"), F.col(f"n_{b}")).alias("avg_score")) for b in bands])).alias("x")).select("x.*")
 
 
 def rule_hits(analysed):
@@ -112,30 +113,24 @@ def golden_check(spark, analysed, expectation):
     return joined.withColumn("failed", wrong)
 
 
-HOT_SHARE = 1000
+SALTS = 16
 
 
 def duplicate_collapse(messages, score):
     """Score each distinct text once and give the result to all its copies.
 
-    A text may have so many copies that a join on its hash would send a third of
-    all messages to one task. Texts with more than a thousandth of all messages
-    number fewer than a thousand, which bounds what is broadcast; the others go
-    through an ordinary shuffle join. Copies are collapsed before the shuffle.
+    Only hashes and ids are aggregated; copies are collapsed before that shuffle. The one message
+    that stands for a text is found by its id, and its narrow result is joined back on the hash,
+    salted, so that a text of a third of all messages is dealt over ``SALTS`` tasks.
     """
     hashed = messages.withColumn("text_hash", F.sha2(F.coalesce("raw", F.lit("")), 256))
-    texts = hashed.groupBy("text_hash").agg(F.count("*").alias("copies"), F.min("msg_id").alias("first_id"),
-                                            F.any_value("raw").alias("raw"))
-    scored = score(texts.withColumn("msg_id", F.col("first_id"))).select(
-        "text_hash", "copies", "first_id", "score", "band")
-    scored = cut_lineage(scored)
-    total = scored.agg(F.sum("copies")).first()[0] or 0
-    hot = scored.filter(F.col("copies") * HOT_SHARE > total)
-    rest = scored.filter(F.col("copies") * HOT_SHARE <= total)
     keys = hashed.select("msg_id", "text_hash")
-    popular = keys.join(F.broadcast(hot), "text_hash")
-    others = keys.join(F.broadcast(hot.select("text_hash")), "text_hash", "left_anti").join(rest, "text_hash")
-    return popular.unionByName(others)
+    firsts = keys.groupBy("text_hash").agg(F.count("*").alias("copies"), F.min("msg_id").alias("first_id"))
+    chosen = messages.join(firsts.select(F.col("first_id").alias("msg_id"), "copies", "text_hash"), "msg_id")
+    scored = cut_lineage(score(chosen).select("text_hash", "copies", F.col("msg_id").alias("first_id"), "score", "band"))
+    spread = scored.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = keys.withColumn("salt", F.pmod(F.xxhash64("msg_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, ["text_hash", "salt"]).drop("salt")
 
 
 def sender_sessions(mails, gap_minutes):

@@ -9,10 +9,9 @@ from mailsift.functions import domains
 from mailsift.functions.columns import constant, text_list
 from mailsift.operators import attachments, findings, headers, html, messages, scoring, text_rules, urls
 from mailsift.plans import corpus, dims, reports, tables
-from mailsift.plans.analysis import VERDICT, analyse, structure, verdict
+from mailsift.plans.analysis import VERDICT, analyse, verdict
 from mailsift.plans.tables import each, file_table, finding_table, url_table
 from mailsift.sources import mail
-from mailsift.sources.files import spread
 from mailsift.streaming import jobs
 
 QUERIES = {}
@@ -38,7 +37,7 @@ def planned(build):
 
 @planned
 def _prepared(spark, d):
-    return messages.prepare(spread(mail.messages(spark, d)))
+    return messages.prepare(mail.messages(spark, d))
 
 
 @planned
@@ -73,7 +72,7 @@ def _html(spark, d):
 
 @planned
 def _analysed(spark, d, evidence=False):
-    return analyse(spread(mail.messages(spark, d)), evidence)
+    return analyse(mail.messages(spark, d), evidence)
 
 
 def _when_found(df, column="sender"):
@@ -367,8 +366,7 @@ def score(spark, d):
 
 @query
 def band_lookup(spark, d):
-    band = dims.band(spark).select("band", "label")
-    return _analysed(spark, d).select("msg_id", "score", "band").join(F.broadcast(band), "band")
+    return _analysed(spark, d).select("msg_id", "score", "band", reports.label_of(F.col("band")).alias("label"))
 
 
 @query
@@ -508,13 +506,14 @@ def sender_profile(spark, d):
 
 @query
 def duplicate_collapse(spark, d):
-    return corpus.duplicate_collapse(mail.messages(spark, d), lambda texts: analyse(spread(texts), evidence=False)).select(
+    return corpus.duplicate_collapse(mail.messages(spark, d), lambda texts: analyse(texts, evidence=False)).select(
         "msg_id", "first_id", "copies", "score", "band")
 
 
 @query
 def golden_check(spark, d):
-    checked = corpus.golden_check(spark, _analysed(spark, d), mail.golden_expectation(spark, d))
+    analysed = analyse(mail.golden_mails(spark, d), evidence=False)
+    checked = corpus.golden_check(spark, analysed, mail.golden_expectation(spark, d))
     return checked.select("msg_id", "golden", "expected_band", "band", "raw_score",
                           F.col("expected_raw").cast("bigint").alias("expected_raw"), "failed")
 
@@ -548,7 +547,7 @@ def sender_burst(spark, d):
 
 @query
 def sender_session(spark, d):
-    return corpus.sender_sessions(_mail_verdicts(spread(mail.mails(spark, d))), gap_minutes=7 * 24 * 60).select(
+    return corpus.sender_sessions(_mail_verdicts(mail.mails(spark, d)), gap_minutes=7 * 24 * 60).select(
         "sender_domain", "session_start", "session_end", "mails", "high")
 
 

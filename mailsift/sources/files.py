@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-TASKS_PER_CORE = 8
+TASK_BYTES, SMALL_BYTES = 256 * 1024, 1 << 30
 
 
 def read_eml(spark, path, glob="*.eml"):
@@ -17,13 +17,15 @@ def read_table(spark, path, id_column, text_column, fmt="parquet"):
         F.col(id_column).cast("bigint").alias("msg_id"), F.col(text_column).cast("string").alias("raw"))
 
 
-def spread(df):
-    """Use all cores when the input has fewer splits than there are; a large input is left as it is.
+def spread(df, key, task_bytes=TASK_BYTES):
+    """Deal a small input over many tasks by a hash of its key; a large one is left where it lies.
 
-    Several small tasks per core even out long and short texts.
+    The analysis costs far more than the reading, and a small file is often one row group, which
+    cannot be split. From a gigabyte on, files have row groups enough and texts are not shuffled. The
+    rule looks at the bytes of the files only, neither at splits nor at cores.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(TASKS_PER_CORE * cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size > SMALL_BYTES else df.repartition(max(1, -(-size // task_bytes)), key)
 
 
 def write_partitioned(df, path, fmt="parquet", by="band"):

@@ -10,6 +10,7 @@ Sources of one's own only need ``msg_id`` and ``raw`` (see ``files.py``).
 from pyspark.sql import functions as F
 
 from mailsift.data.samples import GOLDEN, GOLDEN_EXPECTED, PROBES
+from mailsift.sources.files import spread
 
 HOSTS = ["qqzzk.example", "203.0.113.9", "bit.ly", "a.b.qqzzk.xyz", "paypa1.example", "login.micros0ft-help.example",
          "www.netflix-billing.example", "xn--pypal-4ve.example", "docs.qqzzk.co.uk", "qqzzk.example:8443", "barclays.co.uk"]
@@ -65,8 +66,24 @@ def mails_of(orders):
     return _rename(joined, "orders", F.col("o_orderkey"), F.col("o_orderdate"), raw)
 
 
+ORDER_BYTES = 32 * 1024  # of orders per task: a mail is made of one, and is many times as long
+
+
+def orders_of(spark, sf_dir):
+    """Keys of the orders, spread over tasks while they are still narrow."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
+    return spread(orders, "o_orderkey", ORDER_BYTES)
+
+
 def mails(spark, sf_dir):
-    return mails_of(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate"))
+    return mails_of(orders_of(spark, sf_dir))
+
+
+def golden_mails(spark, sf_dir):
+    """The mails that are golden ones; others are not even built."""
+    golden = spark.createDataFrame([(i,) for i in range(len(GOLDEN_IDS))], "template_id int")
+    return mails_of(orders_of(spark, sf_dir).join(
+        F.broadcast(golden), F.expr(f"o_orderkey % {len(TEMPLATES)} = template_id"), "left_semi"))
 
 
 def golden_expectation(spark, sf_dir):
@@ -81,11 +98,11 @@ def golden_expectation(spark, sf_dir):
 
 def messages(spark, sf_dir):
     """All messages of a data directory: (msg_id, ts, source, raw)."""
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    read = lambda name, key, *columns: spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(key, *columns), key)
     never = F.lit(None)
-    documents = _rename(read("documents"), "documents", F.col("doc_id"), never, F.col("text"))
-    pages = _rename(read("pages"), "pages", F.col("page_id"), never, F.col("html"))
-    talks = _rename(read("conversations"), "conversations",
+    documents = _rename(read("documents", "doc_id", "text"), "documents", F.col("doc_id"), never, F.col("text"))
+    pages = _rename(read("pages", "page_id", "html"), "pages", F.col("page_id"), never, F.col("html"))
+    talks = _rename(read("conversations", "conv_id", "turn", "text"), "conversations",
                     F.col("conv_id") * 10000 + F.col("turn"), never, F.col("text"))
     return mails(spark, sf_dir).unionByName(documents).unionByName(pages).unionByName(talks)
 

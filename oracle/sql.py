@@ -108,15 +108,15 @@ cte("corpus", """SELECT msg_id, ts, source, raw FROM mails
     UNION ALL SELECT doc_id * 4 + 1, NULL, 'documents', text FROM documents
     UNION ALL SELECT page_id * 4 + 2, NULL, 'pages', html FROM pages
     UNION ALL SELECT (conv_id * 10000 + turn) * 4 + 3, NULL, 'conversations', text FROM conversations""")
-cte("prep", f"""SELECT msg_id, ts, source, coalesce(raw, '')[:{lists.MAX_CHARACTERS}] AS text,
+cte("prep", f"""SELECT msg_id, ts, source, coalesce(raw, '') AS text,
     len(coalesce(raw, '')) AS characters, len(coalesce(raw, '')) > {lists.MAX_CHARACTERS} AS truncated,
     NOT regexp_matches(coalesce(raw, ''), {q(f'[^{WS}]')}) AS is_empty FROM corpus""", True)
 
 # ---- headers --------------------------------------------------------------------------------
 cte("line", f"""SELECT msg_id, pos, line, CASE WHEN NOT regexp_matches(line, {q(f'[^{WS}]')}) THEN 'b'
     WHEN regexp_matches(line, '^[ \\t]') THEN 'l' WHEN regexp_matches(line, {q(FIELD)}) THEN 'f' ELSE 'o' END AS kind
-    FROM (SELECT msg_id, unnest(string_split_regex(text, '\\r?\\n')[:{lists.MAX_HEADER_LINES}]) AS line,
-    generate_subscripts(string_split_regex(text, '\\r?\\n')[:{lists.MAX_HEADER_LINES}], 1) AS pos FROM prep)""", True)
+    FROM (SELECT msg_id, unnest(string_split_regex(text, '\\r?\\n')) AS line,
+    generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) AS pos FROM prep)""", True)
 cte("first_line", """SELECT msg_id, min(pos) AS first_pos, arg_min(kind, pos) AS first_kind FROM line WHERE kind <> 'b' GROUP BY msg_id""")
 cte("stop_line", f"""SELECT f.msg_id, first_pos, coalesce(min(pos) FILTER (kind IN ('b', 'o') AND pos > first_pos), max(pos) + 1) AS stop_pos,
     arg_min(kind, pos) FILTER (kind IN ('b', 'o') AND pos > first_pos) AS stop_kind
@@ -317,7 +317,7 @@ cte("mismatch", f"""SELECT msg_id, anchor_ord, CASE WHEN shown <> '' THEN '"' ||
 remote = rx(r"""(?:src|href|background)\s*=\s*["']https?://([^"'/]+)""")
 cte("remote", f"""SELECT msg_id, host, row_number() OVER (PARTITION BY msg_id ORDER BY i) AS ord FROM (SELECT msg_id, host, min(i) AS i FROM
     (SELECT msg_id, lower(unnest(regexp_extract_all(text, {remote}, 1))) AS host, generate_subscripts(regexp_extract_all(text, {remote}, 1), 1) AS i FROM html)
-    GROUP BY msg_id, host) QUALIFY ord <= 8""")
+    GROUP BY msg_id, host)""")
 hidden = rx(r"(?:display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*0(?:px|pt|em|%)?|opacity\s*:\s*0(?:\.0+)?)")
 zero = r"""\s*=\s*["']?[01]\b[^>]*"""
 HTML_CHECKS = [
