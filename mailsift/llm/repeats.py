@@ -9,7 +9,7 @@ a second shuffle, which finds the smallest id that has it.
 
 Hot passages: tasks work on blocks of documents. Of the documents in a block that share a hash only
 the one with the smallest id is sent under it; what the others need to know is known already and is
-sent under keys of their own. So a passage of a third of all documents reaches a key once per block.
+sent under a key of the document. So a passage of a third of all documents reaches a key once per block.
 No pair of documents is ever formed and no posting list is collected.
 
 Hashes have 64 bits; windows with equal hashes are taken for equal.
@@ -61,7 +61,7 @@ def send(blocks, of_document, all_known):
     """Rows for the shuffle of the hashes of a block.
 
     The smallest id of each hash goes under the hash itself. For hashes with several ids, the others
-    (with ``all_known``, that one too) are sent as known, each under a key of its own.
+    (with ``all_known``, that one too) are sent as known, under a key of the document.
     """
     for block in blocks:
         found = [(np.unique(of_document(*rest)), doc) for doc, *rest in block]
@@ -78,7 +78,7 @@ def send(blocks, of_document, all_known):
         if all_known and len(first):
             known = np.maximum.reduceat(known, first)[group]
         with np.errstate(over="ignore"):
-            own = mix(hashes[known] + mix(docs[known].view(np.uint64)))
+            own = mix(docs[known].view(np.uint64))
         key = np.concatenate([hashes[new], own]).view(np.int64)
         to = np.concatenate([docs[new], docs[known]])
         value = np.concatenate([np.zeros(len(first), np.uint64), hashes[known]]).view(np.int64)
@@ -126,14 +126,15 @@ def shared_anchors(docs, window):
 def repeated_windows(packed, window):
     """``doc_id`` and ``hash`` of the windows that a document with a smaller id has too.
 
-    ``packed`` has the documents with shared anchors, and these as ``anchors``.
+    ``packed`` has all documents, and their shared anchors as ``anchors``.
     """
     period = cover_for(window)[0]
 
     def rows(batch):
         for doc, text, shared in zip(column(batch, "doc_id").to_pylist(), unpacked(batch),
                                      column(batch, "anchors").to_pylist()):
-            yield doc, word_hashes(text.split()), np.array(shared, np.int64).view(np.uint64)
+            if shared:
+                yield doc, word_hashes(text.split()), np.array(shared, np.int64).view(np.uint64)
 
     def extended(hashes, shared):
         found, at = anchors(hashes, window)
@@ -162,7 +163,8 @@ def remove_repeats(docs, window=13):
                                         column(batch, "text").cast(pa.binary()).to_pylist()], pa.binary())]
 
     packed = add_columns(docs, "packed_text binary", pack).drop("text")
-    windows = repeated_windows(packed.select("doc_id", "packed_text").join(found, "doc_id"), window)
+    # both joins are outer ones over the same columns, so that the texts are shuffled once for both
+    windows = repeated_windows(packed.join(found, "doc_id", "left"), window)
     repeated = windows.groupBy("doc_id").agg(F.collect_set("hash").alias("repeated_windows"))
 
     def cut():
