@@ -532,7 +532,8 @@ def stream_score(spark, d):
 
 @query
 def stream_band_window(spark, d):
-    return jobs.complete_available(jobs.band_window(_mail_verdicts(mail.mails_of(jobs.order_stream(spark, d)))))
+    return jobs.update_available(jobs.band_window(_mail_verdicts(mail.mails_of(jobs.order_stream(spark, d)))),
+                                 ["window_start", "band"])
 
 
 @query
@@ -542,7 +543,8 @@ def stream_dedupe(spark, d):
 
 @query
 def sender_burst(spark, d):
-    return jobs.complete_available(jobs.sender_burst(_mail_verdicts(mail.mails_of(jobs.order_stream(spark, d)))))
+    return jobs.update_available(jobs.sender_burst(_mail_verdicts(mail.mails_of(jobs.order_stream(spark, d)))),
+                                 ["window_start", "sender_domain"])
 
 
 @query

@@ -493,7 +493,8 @@ FINAL = {
         JOIN score ON msg_id = o_orderkey * 4""",
     "stream_score": "SELECT msg_id, raw_score, score, band FROM mail_score",
     "stream_band_window": "SELECT time_bucket(INTERVAL 30 DAY, ts, TIMESTAMP '1970-01-01') AS window_start, band, count(*) AS messages FROM mail_score GROUP BY ALL",
-    "stream_dedupe": "SELECT DISTINCT sha256(raw) AS text_hash FROM mails",
+    "stream_dedupe": """SELECT sha256(raw) AS text_hash FROM mails
+        QUALIFY coalesce(ts - lag(ts) OVER (PARTITION BY raw ORDER BY ts) > INTERVAL 7 DAY, true)""",
     "sender_burst": """SELECT date_trunc('day', ts) - to_days(CAST(d AS INTEGER)) AS window_start, sender_domain, count(*) AS mails, count(*) FILTER (band = 'high') AS high
         FROM mail_score CROSS JOIN range(7) r(d) GROUP BY ALL""",
     "sender_session": """SELECT sender_domain, min(ts) AS session_start, max(ts) AS session_end, count(*) AS mails, count(*) FILTER (band = 'high') AS high FROM
