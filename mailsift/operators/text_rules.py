@@ -43,6 +43,16 @@ def snippets_sql(rule):
     return f"slice({found}, 1, {MAX_SNIPPETS})"
 
 
+@once
+def highlights_column():
+    """Per rule that fired its snippets with the matched text and its place in the snippet, -1 if it is not there."""
+    def shown(rule):
+        return (f"if(hit_{rule.rule_id}, transform({snippets_sql(rule)}, (s, i) -> named_struct('rule_id', "
+                f"'{rule.rule_id}', 'ord', i + 1, 'snippet', s.text, 'match', s.match, 'match_at', "
+                f"locate(lower(s.match), lower(s.text)) - 1)), array())")
+    return constant(f"flatten(array({', '.join(map(shown, catalogue.TEXT_RULES))}))")
+
+
 @once
 def findings_column(evidence):
     def found(rule):

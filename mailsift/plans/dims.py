@@ -43,8 +43,14 @@ def tld(spark):
 
 
 def lookup(spark):
+    """All lookup lists as (list, entry); those of brands name the brand in front of a slash."""
     named = {"multi_part_suffix": lists.MULTI_PART_SUFFIXES, "risky_tld": lists.RISKY_TLDS,
-             "shortener": lists.SHORTENERS, "free_mail": lists.FREE_MAIL_DOMAINS}
+             "shortener": lists.SHORTENERS, "free_mail": lists.FREE_MAIL_DOMAINS,
+             "brand": [b for b, _, _ in lists.BRANDS],
+             "brand_token": [f"{b}/{t}" for b, tokens, _ in lists.BRANDS for t in tokens],
+             "brand_domain": [f"{b}/{d}" for b, _, domains in lists.BRANDS for d in domains],
+             "host_stopword": lists.HOST_STOPWORDS, "severity": list(lists.SEVERITIES),
+             "category": lists.CATEGORY_ORDER, "band": [b[0] for b in catalogue.BANDS]}
     return spark.createDataFrame([(n, v) for n, values in named.items() for v in values], "list string, entry string")
 
 

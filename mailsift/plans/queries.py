@@ -237,9 +237,9 @@ def text_rules_(spark, d):
 
 @query
 def text_evidence(spark, d):
-    df = text_rules.with_text_findings(text_rules.with_text_hits(_headers(spark, d)))
-    found = findings.rows(df, "text_findings", "msg_id")
-    return each(found, "evidence", "msg_id", "rule_id").select("msg_id", "rule_id", "ord", F.col("x").alias("snippet"))
+    df = text_rules.with_text_hits(_headers(spark, d)).withColumn("shown", text_rules.highlights_column())
+    return each(df, "shown", "msg_id").select("msg_id", "x.rule_id", F.col("x.ord").cast("bigint").alias("ord"), "x.snippet",
+                                              "x.match", F.col("x.match_at").cast("bigint").alias("match_at"))
 
 
 @query
@@ -441,7 +441,7 @@ def rule_registry(spark, d):
 
 @query
 def lookup_dims(spark, d):
-    """Entries of the lookup lists with the messages that meet them."""
+    """Entries of all lookup lists, with the messages that meet them for the lists of names and suffixes."""
     df = _links(spark, d)
     df = headers.with_sender(df)
     pair = lambda name, x: F.struct(F.lit(name).alias("list"), x.alias("entry"))

@@ -348,9 +348,9 @@ def snippet(p):
 
 
 cte("snippet_all", " UNION ALL ".join(
-    f"SELECT msg_id, {q(r.rule_id)} AS rule_id, {j} AS p, {snippet(p)} AS snippet FROM body JOIN (SELECT msg_id FROM text_hit WHERE rule_id = {q(r.rule_id)}) USING (msg_id) "
+    f"SELECT msg_id, {q(r.rule_id)} AS rule_id, {j} AS p, {snippet(p)} AS snippet, regexp_extract(body, {rx(p)}) AS hit FROM body JOIN (SELECT msg_id FROM text_hit WHERE rule_id = {q(r.rule_id)}) USING (msg_id) "
     f"WHERE regexp_matches(body, {rx(p)})" for r in cat.TEXT_RULES for j, p in enumerate(r.patterns)))
-cte("snippet", "SELECT msg_id, rule_id, snippet, row_number() OVER (PARTITION BY msg_id, rule_id ORDER BY p) AS ord FROM snippet_all QUALIFY ord <= 3", True)
+cte("snippet", "SELECT msg_id, rule_id, snippet, hit, row_number() OVER (PARTITION BY msg_id, rule_id ORDER BY p) AS ord FROM snippet_all QUALIFY ord <= 3", True)
 
 # ---- findings -------------------------------------------------------------------------------
 cte("rule", "SELECT * FROM " + values([(r.rule_id, r.source, cat.REGISTRY_SOURCE[r.source], r.category, r.severity, r.points, r.title, r.advice, n,
@@ -394,7 +394,11 @@ cte("prevalence", "SELECT rule_id, count(*) AS messages, CAST(sum(points) AS BIG
 cte("mail_score", "SELECT m.msg_id, ts, raw_score, score, band, coalesce(from_registrable, '') AS sender_domain FROM mails m JOIN score USING (msg_id) LEFT JOIN sender USING (msg_id)")
 
 LOOKUP = [(n, v) for n, vs in (("multi_part_suffix", lists.MULTI_PART_SUFFIXES), ("risky_tld", lists.RISKY_TLDS),
-                               ("shortener", lists.SHORTENERS), ("free_mail", lists.FREE_MAIL_DOMAINS)) for v in vs]
+                               ("shortener", lists.SHORTENERS), ("free_mail", lists.FREE_MAIL_DOMAINS),
+                               ("host_stopword", lists.HOST_STOPWORDS), ("severity", lists.SEVERITIES),
+                               ("category", lists.CATEGORY_ORDER)) for v in vs]
+LOOKUP += [("brand", b) for b, _, _ in lists.BRANDS] + [("band", b[0]) for b in cat.BANDS]
+LOOKUP += [(n, f"{b[0]}/{v}") for b in lists.BRANDS for n, vs in (("brand_token", b[1]), ("brand_domain", b[2])) for v in vs]
 EXPECTED = [(i, g_, *GOLDEN_EXPECTED[g_]) for i, g_ in enumerate(GOLDEN_IDS)]
 
 FINAL = {
@@ -422,7 +426,8 @@ FINAL = {
     "span_containment": f"SELECT msg_id, name, start_pos, end_pos FROM mention m WHERE {inside}",
     "ext_group_join": "SELECT msg_id, name, ext, grp FROM file JOIN ext_group USING (ext)",
     "text_rules": "SELECT msg_id, rule_id FROM text_hit",
-    "text_evidence": "SELECT msg_id, rule_id, ord, snippet FROM snippet",
+    "text_evidence": """SELECT msg_id, rule_id, ord, snippet, hit AS match,
+        CAST(strpos(lower(snippet), lower(hit)) - 1 AS BIGINT) AS match_at FROM snippet""",
     "url_flags": "SELECT msg_id, url_ord, row_number() OVER (PARTITION BY msg_id, url_ord ORDER BY o) AS flag_ord, flag_id, tone, label, note FROM flag",
     "url_rules": "SELECT msg_id, rule_id, row_number() OVER (PARTITION BY msg_id ORDER BY o1) AS seq, evidence, extra FROM url_finding",
     "attachment_rules": "SELECT msg_id, rule_id, row_number() OVER (PARTITION BY msg_id ORDER BY o1) AS seq, evidence FROM file_finding",
