@@ -42,11 +42,6 @@ def jvm(pattern, ignore_case=True):
     return ("(?i)" if ignore_case else "") + body
 
 
-def any_of(patterns):
-    """One pattern that matches where any of the given ones does."""
-    return "(?i)" + "|".join(jvm(p, ignore_case=False) for p in patterns)
-
-
 _LABEL = r"(?:[a-z0-9](?:[a-z0-9_-]{0,61}[a-z0-9])?\.)"
 # The lookahead lets a label that is no known suffix fail before the long alternation is tried.
 _KNOWN_TLD = rf"(?=[a-z]{{2,8}}{NOT_BEFORE_WORD})(?:{'|'.join(lists.all_tlds())}){NOT_BEFORE_WORD}"

@@ -19,15 +19,6 @@ def band(spark):
     return spark.createDataFrame(catalogue.BANDS, "band string, min_score int, max_score int, label string, blurb string")
 
 
-def category(spark):
-    return spark.createDataFrame([(c, i) for i, c in enumerate(lists.CATEGORY_ORDER, 1)], "category string, category_ord int")
-
-
-def severity(spark):
-    return spark.createDataFrame([(s, a, d) for s, (a, d) in lists.SEVERITIES.items()],
-                                 "severity string, rank_actual int, rank_documented int")
-
-
 def indicator(spark):
     return spark.createDataFrame(catalogue.REQUIRED_INDICATORS, "indicator string, rule_id string")
 
@@ -52,13 +43,3 @@ def lookup(spark):
              "host_stopword": lists.HOST_STOPWORDS, "severity": list(lists.SEVERITIES),
              "category": lists.CATEGORY_ORDER, "band": [b[0] for b in catalogue.BANDS]}
     return spark.createDataFrame([(n, v) for n, values in named.items() for v in values], "list string, entry string")
-
-
-def brand_token(spark):
-    return spark.createDataFrame([(i, b, t) for i, (b, tokens, _) in enumerate(lists.BRANDS, 1) for t in tokens],
-                                 "brand_ord int, brand string, token string")
-
-
-def brand_domain(spark):
-    return spark.createDataFrame([(i, b, d) for i, (b, _, domains) in enumerate(lists.BRANDS, 1) for d in domains],
-                                 "brand_ord int, brand string, domain string")

@@ -421,6 +421,11 @@ def verdicts(spark, d):
     return verdict(_analysed(spark, d))
 
 
+@query
+def report_fields(spark, d):
+    return reports.report_fields(reports.report_json(_analysed(spark, d, evidence=True)))
+
+
 @query
 def report_json(spark, d):
     return reports.report_json(_analysed(spark, d, evidence=True))

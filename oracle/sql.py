@@ -466,6 +466,13 @@ FINAL = {
         % among("flag_id", [r.rule_id for r in cat.LINK_RULES]),
     "verdict": """SELECT msg_id, raw_score, score, capped, band, n_critical, n_high, n_medium, n_low, n_info, n_counted, url_count, file_count,
         headers_found, html_found FROM score JOIN counts USING (msg_id)""",
+    "report_fields": """SELECT msg_id, score, raw_score, capped, band, label, url_count, file_count, n_counted, characters, r.rule_id AS first_rule,
+        title AS first_title, coalesce(n_findings, 0) AS n_findings, n_recommendations, first_advice
+        FROM score JOIN {} b(id, lo, hi, label, blurb) ON score BETWEEN lo AND hi JOIN counts USING (msg_id) JOIN prep USING (msg_id)
+        LEFT JOIN (SELECT msg_id, rule_id FROM ranked WHERE rank = 1) r USING (msg_id) LEFT JOIN rule ON rule.rule_id = r.rule_id
+        LEFT JOIN (SELECT msg_id, count(*) AS n_findings FROM ranked GROUP BY msg_id) USING (msg_id)
+        LEFT JOIN (SELECT msg_id, count(*) AS n_recommendations, arg_min(text, rank) AS first_advice FROM advice GROUP BY msg_id) USING (msg_id)
+        """.format(values(cat.BANDS)),
     "rule_registry": "SELECT registry_rank, rule_id, registry_source, title, severity, CAST(points AS BIGINT) AS points, coalesce(messages, 0) AS messages FROM rule LEFT JOIN prevalence USING (rule_id)",
     "lookup_dims": f"""SELECT list, entry, count(DISTINCT msg_id) AS messages FROM {values(LOOKUP)} d(list, entry) LEFT JOIN (
         SELECT 'multi_part_suffix' AS list, array_to_string(string_split(registrable, '.')[-2:], '.') AS entry, msg_id FROM url JOIN host USING (host)

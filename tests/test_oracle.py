@@ -13,7 +13,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 # The full set is compared by the driver; these cover each part of the pipeline once.
 CHECKED = ["header_kv", "url_flags", "findings_union", "verdict", "recommendations", "duplicate_collapse",
            "stream_dedupe", "sender_session", "band_lookup", "band_distribution", "golden_check", "remote_hosts", "header_gate",
-           "text_evidence", "lookup_dims"]
+           "text_evidence", "lookup_dims", "report_fields"]
 
 
 def plain(v):
@@ -59,7 +59,7 @@ def test_reports(spark):
     assert parsed[0]["score"] == 100 and parsed[0]["band"]["id"] == "high"
     assert parsed[0]["findings"][0]["evidence"] and len(parsed[0]["recommendations"]) == 8
     text = queries()["report_text"](spark, SF).orderBy("msg_id").limit(1).collect()[0].report
-    assert "RISK SCORE: 100/100  (High Risk)" in text and "WARNING SIGNS (15)" in text
+    assert "Score 100 of 100: High Risk" in text and "FINDINGS: 15" in text and "\n  1) " in text
 
 
 def test_entry(spark):
