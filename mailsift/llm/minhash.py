@@ -1,8 +1,9 @@
 """Near-duplicate documents by a signature-coordinate inverted join.
 
-Every document gets a MinHash signature of ``COORDINATES`` values over its set of word shingles and is
-posted under each pair (coordinate, value). Two documents of the wanted similarity agree on at least
-``needed`` coordinates but for a chance of ``MISS``.
+Every document gets a signature of ``COORDINATES`` values over its set of word shingles, each the
+combination of ``EACH`` MinHash values, and is posted under each pair (coordinate, value). Two
+documents of similarity J agree on a coordinate with probability J ** EACH; at the wanted similarity
+they agree on at least ``needed`` of them but for a chance of ``MISS``.
 
 * Prefix: with postings ordered by length, shortest first, a pair that agrees on ``needed`` of k
   coordinates shares a posting among the first k - needed + 1 of both. Only those are merged. Postings
@@ -10,8 +11,10 @@ posted under each pair (coordinate, value). Two documents of the wanted similari
   posting left, and the long postings of frequent shingles come last.
 * Skip: equal shingle sets are one class and only the smallest id of it is posted. In the first merge
   each document is held against one partner, the head of a posting with which it collides most
-  often. Postings whose members are then in one component are skipped; the others are merged in full,
-  but only for pairs across components, since links within one change nothing.
+  often. Postings whose members are then in one component are skipped. The others are merged in full,
+  but only for pairs across components, since links within one change nothing, and only where the
+  shingles that a document shares with any other suffice: two sets of sizes x and y are similar enough
+  only if they have t / (1 + t) (x + y) shingles in common.
 * Collisions over all coordinates are counted for every candidate, and pairs at or above the match
   threshold are confirmed on the sets of shingles of the whole texts.
 
@@ -33,19 +36,20 @@ from mailsift.llm.arrow import as_bytes, column, mix, whole_texts, window_hashes
 from mailsift.llm.components import components
 from mailsift.sources.shared import cut_lineage
 
-COORDINATES = 64
+COORDINATES = 32
+EACH = 3  # MinHash values in a coordinate
 MISS = 1e-5
 ROWS = 2048  # shingles hashed at a time, for texts of any length
 
 _draw = np.random.default_rng(20240229)
-MULTIPLY = _draw.integers(1, 2**63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
-FLIP = _draw.integers(0, 2**63, COORDINATES, np.uint64)
+MULTIPLY = _draw.integers(1, 2**63, COORDINATES * EACH, np.uint64) * np.uint64(2) + np.uint64(1)
+FLIP = _draw.integers(0, 2**63, COORDINATES * EACH, np.uint64)
 COORDINATE = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(56)
 
 
 def needed(percent, coordinates=COORDINATES, miss=MISS):
     """The most agreeing coordinates that a pair at the threshold reaches but for a chance of ``miss``."""
-    p, tail = percent / 100, 0.0
+    p, tail = (percent / 100) ** EACH, 0.0
     for matches in range(coordinates + 1):
         tail += math.comb(coordinates, matches) * p**matches * (1 - p) ** (coordinates - matches)
         if tail > miss:
@@ -66,12 +70,15 @@ def shingle_hashes(text, size):
 
 
 def signature(hashes):
-    """Smallest hash of a non-empty set per coordinate, with the coordinate mixed in."""
-    smallest = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
+    """The coordinates of a non-empty set, each with its number mixed in."""
+    smallest = np.full(COORDINATES * EACH, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), ROWS):
         part = (hashes[at:at + ROWS, None] ^ FLIP) * MULTIPLY
         np.minimum(smallest, part.min(axis=0), out=smallest)
-    return mix(smallest ^ COORDINATE)
+    value = COORDINATE
+    for part in smallest.reshape(EACH, COORDINATES):
+        value = mix(part + mix(value))
+    return value
 
 
 def features(docs, size):
@@ -135,7 +142,8 @@ def near_duplicates(docs, size=5, percent=80, key="doc_id", text="text"):
     tried = cut_lineage(matching(first_partners(postings, percent)))
     links = cut_lineage(confirmed(tried, texts, size, percent))
     roots = components(links)
-    crossing = cut_lineage(matching(across(postings, roots, percent).join(tried, ["a", "b"], "left_anti")))
+    open_ = cut_lineage(able(spanning(postings, roots), texts, size, percent))
+    crossing = cut_lineage(matching(across(open_, percent).join(tried, ["a", "b"], "left_anti")))
     more = confirmed(crossing, texts, size, percent)
     same = full.join(classes, ["h1", "h2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     roots = components(links.unionByName(more).unionByName(same.filter("a <> b")))
@@ -169,13 +177,39 @@ def first_partners(postings, percent):
     return best.select(F.col("best.a").alias("a"), "b")
 
 
-def across(postings, roots, percent):
-    """Pairs that share a posting and are in different components."""
+def spanning(postings, roots):
+    """The postings with members of several components, each member with its ``root``."""
     labelled = postings.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
         "root", F.coalesce("root", "doc_id"))
     open_ = labelled.groupBy("posting").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    rest = labelled.join(open_.select("posting"), "posting", "left_semi")
-    other = rest.select("posting", F.col("doc_id").alias("b"), F.col("root").alias("root_b"),
-                        F.col("n_shingles").alias("size_b"))
-    return rest.withColumnRenamed("doc_id", "a").join(other, "posting").filter("a < b and root <> root_b").filter(
-        sizes_fit("n_shingles", "size_b", percent)).select("a", "b").distinct()
+    return labelled.join(open_.select("posting"), "posting", "left_semi")
+
+
+def able(members, texts, size, percent):
+    """The members that share enough shingles with others, with the number of these as ``n_shared``."""
+    members = cut_lineage(members)
+
+    def run(batches):
+        for batch in batches:
+            with np.errstate(over="ignore"):
+                hashes = [shingle_hashes(t, size).view(np.int64) for t in as_bytes(batch)]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(hashes, pa.list_(pa.int64()))],
+                                             names=["doc_id", "shingles"])
+
+    held = texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    single = held.mapInArrow(run, "doc_id long, shingles array<long>").select(
+        "doc_id", F.explode("shingles").alias("shingle"))
+    shared = single.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    counts = single.join(shared.select("shingle"), "shingle", "left_semi").groupBy("doc_id").agg(
+        F.count("*").alias("n_shared"))
+    return members.join(counts, "doc_id").filter(100 * F.col("n_shared") >= percent * F.col("n_shingles"))
+
+
+def across(members, percent):
+    """Pairs that share a posting, are in different components and may have enough shingles in common."""
+    other = members.select("posting", F.col("doc_id").alias("b"), F.col("root").alias("root_b"),
+                           F.col("n_shingles").alias("size_b"), F.col("n_shared").alias("shared_b"))
+    least = percent * (F.col("n_shingles") + F.col("size_b"))
+    return members.withColumnRenamed("doc_id", "a").join(other, "posting").filter("a < b and root <> root_b").filter(
+        ((100 + percent) * F.least("n_shared", "shared_b") >= least) & sizes_fit("n_shingles", "size_b", percent)).select(
+        "a", "b").distinct()

@@ -57,7 +57,7 @@ def test_rows_of_one_id_and_without_id(spark):
 @pytest.mark.parametrize("percent", [50, 80, 95])
 def test_threshold_of_matches(percent):
     least = minhash.needed(percent)
-    assert 0 < least < 64 * percent / 100
+    assert 0 < least < 32 * (percent / 100) ** 3
 
 
 def test_components_of_a_path(spark):
