@@ -11,10 +11,10 @@ they agree on at least ``needed`` of them but for a chance of ``MISS``.
   posting left, and the long postings of frequent shingles come last.
 * Skip: equal shingle sets are one class and only the smallest id of it is posted. In the first merge
   each document is held against one partner, the head of a posting with which it collides most
-  often. Postings whose members are then in one component are skipped. The others are merged in full,
-  but only for pairs across components, since links within one change nothing, and only where the
-  shingles that a document shares with any other suffice: two sets of sizes x and y are similar enough
-  only if they have t / (1 + t) (x + y) shingles in common.
+  often. Postings whose members are then in one component are skipped. Of the others all pairs across
+  components are tried (links within one change nothing) that can be similar enough: two sets of sizes
+  x and y then have t / (1 + t) (x + y) shingles in common, so with shingles ordered by frequency,
+  rarest first, their first common one must stand early enough in both to leave room for the rest.
 * Collisions over all coordinates are counted for every candidate, and pairs at or above the match
   threshold are confirmed on the sets of shingles of the whole texts.
 
@@ -142,8 +142,10 @@ def near_duplicates(docs, size=5, percent=80, key="doc_id", text="text"):
     tried = cut_lineage(matching(first_partners(postings, percent)))
     links = cut_lineage(confirmed(tried, texts, size, percent))
     roots = components(links)
-    open_ = cut_lineage(able(spanning(postings, roots), texts, size, percent))
-    crossing = cut_lineage(matching(across(open_, percent).join(tried, ["a", "b"], "left_anti")))
+    open_ = cut_lineage(spanning(postings, roots))
+    crossing = across(early(open_, texts, size, percent), percent)
+    crossing = cut_lineage(matching(crossing.join(tried.unionByName(tried.select(
+        F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")))
     more = confirmed(crossing, texts, size, percent)
     same = full.join(classes, ["h1", "h2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     roots = components(links.unionByName(more).unionByName(same.filter("a <> b")))
@@ -178,17 +180,18 @@ def first_partners(postings, percent):
 
 
 def spanning(postings, roots):
-    """The postings with members of several components, each member with its ``root``."""
+    """The documents of postings with members of several components: ``doc_id``, ``n_shingles``, ``root``."""
     labelled = postings.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
         "root", F.coalesce("root", "doc_id"))
     open_ = labelled.groupBy("posting").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    return labelled.join(open_.select("posting"), "posting", "left_semi")
+    return labelled.join(open_.select("posting"), "posting", "left_semi").select("doc_id", "n_shingles", "root").distinct()
 
 
-def able(members, texts, size, percent):
-    """The members that share enough shingles with others, with the number of these as ``n_shared``."""
-    members = cut_lineage(members)
+def early(members, texts, size, percent):
+    """The first shingles of each member, rarest first, as ``shingle`` and ``place`` (from 1).
 
+    Shingles that no other member has take a place but need no row.
+    """
     def run(batches):
         for batch in batches:
             with np.errstate(over="ignore"):
@@ -196,20 +199,31 @@ def able(members, texts, size, percent):
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(hashes, pa.list_(pa.int64()))],
                                              names=["doc_id", "shingles"])
 
-    held = texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    held = texts.join(members.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     single = held.mapInArrow(run, "doc_id long, shingles array<long>").select(
         "doc_id", F.explode("shingles").alias("shingle"))
     shared = single.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
-    counts = single.join(shared.select("shingle"), "shingle", "left_semi").groupBy("doc_id").agg(
-        F.count("*").alias("n_shared"))
-    return members.join(counts, "doc_id").filter(100 * F.col("n_shared") >= percent * F.col("n_shingles"))
-
-
-def across(members, percent):
-    """Pairs that share a posting, are in different components and may have enough shingles in common."""
-    other = members.select("posting", F.col("doc_id").alias("b"), F.col("root").alias("root_b"),
-                           F.col("n_shingles").alias("size_b"), F.col("n_shared").alias("shared_b"))
-    least = percent * (F.col("n_shingles") + F.col("size_b"))
-    return members.withColumnRenamed("doc_id", "a").join(other, "posting").filter("a < b and root <> root_b").filter(
-        ((100 + percent) * F.least("n_shared", "shared_b") >= least) & sizes_fit("n_shingles", "size_b", percent)).select(
-        "a", "b").distinct()
+    ranked = single.join(shared, "shingle").groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("all"))
+    placed = members.join(ranked, "doc_id").select(
+        "doc_id", "n_shingles", "root", F.size("all").alias("n_shared"), F.posexplode("all").alias("at", "one"))
+    return placed.select("doc_id", "n_shingles", "root", F.col("one.shingle").alias("shingle"), (
+        F.col("n_shingles") - F.col("n_shared") + F.col("at") + 1).alias("place")).filter(
+        100 * (F.col("place") - 1) <= (100 - percent) * F.col("n_shingles"))
+
+
+def across(rows, percent):
+    """Pairs of different components, one common early shingle of which leaves room for enough others.
+
+    ``a`` is the smaller set; its first common shingle must stand still earlier.
+    """
+    small = rows.select(F.col("doc_id").alias("a"), F.col("root").alias("root_a"), F.col("n_shingles").alias("size_a"),
+                        F.col("place").alias("place_a"), "shingle").filter(
+        (100 + percent) * (F.col("size_a") - F.col("place_a") + 1) >= 2 * percent * F.col("size_a"))
+    large = rows.select(F.col("doc_id").alias("b"), F.col("root").alias("root_b"), F.col("n_shingles").alias("size_b"),
+                        F.col("place").alias("place_b"), "shingle")
+    room = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + 1
+    return small.join(large, "shingle").filter(
+        "root_a <> root_b and (size_a < size_b or (size_a = size_b and a < b))").filter(
+        ((100 + percent) * room >= percent * (F.col("size_a") + F.col("size_b")))
+        & sizes_fit("size_a", "size_b", percent)).select("a", "b").distinct()
