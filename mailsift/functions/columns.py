@@ -32,12 +32,15 @@ def compact(*items):
 
 
 def first_of_each(items, key):
-    """Keep the first array element per key; elements with a null key go."""
-    return let(F.transform(items, lambda x: F.struct(x.alias("item"), key(x).alias("key"))),
-               lambda rows: let(F.transform(rows, lambda r: r["key"]),
-                                lambda keys: F.transform(
-                                    F.filter(rows, lambda r, i: F.array_position(keys, r["key"]) == i + 1),
-                                    lambda r: r["item"])))
+    """Keep the first array element per key; elements with a null key go.
+
+    Sorted by key and place, an element is the first of its key if the one before it has another key.
+    """
+    rows = F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("key"), i.alias("at"), x.alias("item"))))
+    first = let(rows, lambda rs: F.filter(rs, lambda r, i: r["key"].isNotNull() & (
+        (i == 0) | ~r["key"].eqNullSafe(F.try_element_at(rs, F.greatest(i, F.lit(1)))["key"]))))
+    return F.transform(F.array_sort(F.transform(first, lambda r: F.struct(r["at"].alias("at"), r["item"].alias("item")))),
+                       lambda r: r["item"])
 
 
 MARK = "\u0001"
