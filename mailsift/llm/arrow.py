@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+ROWS = 1000
+
+
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -17,9 +20,10 @@ def whole_texts(docs, key="doc_id", text="text"):
 
 
 def add_columns(df, added, make):
-    """``df`` with columns computed per Arrow batch; a column of the same name is replaced.
+    """``df`` with columns computed per part of an Arrow batch; a column of the same name is replaced.
 
-    ``make()`` runs once per task and returns a function from a batch to the list of new arrays.
+    ``make()`` runs once per task and returns a function from a batch to the list of new arrays. It
+    sees ``ROWS`` rows at a time, so that what they become in Python stays small.
     """
     added = StructType.fromDDL(added)
     kept = [f for f in df.schema.fields if f.name not in added.names]
@@ -27,9 +31,10 @@ def add_columns(df, added, make):
 
     def run(batches):
         compute = make()
-        for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            yield pa.RecordBatch.from_arrays(columns + compute(batch), names=names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([column(batch, f.name) for f in kept] + compute(batch), names=names)
 
     return df.mapInArrow(run, StructType(kept + added.fields))
 

@@ -31,7 +31,7 @@ from mailsift.llm.arrow import add_columns, column
 
 LEAF = 4096  # characters of a part that is no longer halved
 READS = 3  # characters from its start that any match may read
-REMEMBERED = 400_000  # pieces whose ids a task remembers
+REMEMBERED = 200_000  # pieces whose ids a task remembers
 
 # The regex module's \s equals the White_Space property, as that of the tokenizer library does.
 PIECES = regex.compile(public_tokenizers.PATTERN).findall
@@ -51,12 +51,16 @@ class Codec(dict):
         super().__init__()
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                                          special_tokens={})
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             self.bytes_of[rank] = piece
 
+    @functools.cached_property
+    def encoding(self):
+        """The library's encoding; tasks that only decode do without."""
+        ranks = {piece: rank for rank, piece in enumerate(self.bytes_of) if piece}
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     def __missing__(self, piece):
         ids = little_endian(self.encoding.encode_ordinary(piece))
         if len(self) >= REMEMBERED:
