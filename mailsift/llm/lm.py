@@ -1,9 +1,18 @@
 """Masked pseudo-likelihood of documents by a small bidirectional window network.
 
 Every token is predicted from ``SIDE`` tokens on both sides; the sum of these conditional
-log-probabilities scores a document. A token is the hash of a word in a vocabulary of ``HIGH * LOW``
-ids, and is predicted in two digits, the second one given the first, so a prediction costs
-HIGH + LOW outputs.
+log-probabilities scores a document. A token is a word between white space, of any number of distinct
+ones. Words fall into ``HIGH * LOW`` ids by hash, and
+
+    P(word | both sides) = P(id | ids on both sides) P(word | id)
+
+The network gives the first factor, in two digits, the second one given the first, so a prediction
+costs HIGH + LOW outputs. The second is the share of the word among all words of its id in the documents
+that are scored. As neighbours, words are known by their ids only.
+
+Shares are counted in shards. Documents are dealt by hash into chunks of about ``CHUNK`` characters; a
+chunk sends each of its distinct words once to the shard of its id, and gets the logarithm of the share
+back, so a frequent word is one entry per chunk. Nothing of the vocabulary is on the driver or broadcast.
 
 Network (numpy): embeddings of the neighbours, weighted per position, summed, and squashed to a hidden
 layer; from it the first digit; from it and an embedding of the first digit the second one.
@@ -23,12 +32,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from mailsift.llm.arrow import add_columns, as_bytes, column, word_hashes
 from mailsift.sources.shared import cut_lineage
 
 HIGH = LOW = 64
 SIDE, DIM, EVERY, ROUNDS = 2, 32, 6, 2
+CHUNK = 4_000_000
 STEP, BATCH, BLOCK = 0.1, 1024, 16_384
 GROUP, PARTS = 64, 16
 PAD = HIGH * LOW
@@ -55,9 +66,14 @@ def shaped(values):
     return {k: v.reshape(s) for (k, s), v in zip(SHAPES.items(), np.split(values, ends[:-1]))}
 
 
+def ids_of(words):
+    """Ids of word hashes."""
+    return (words % np.uint64(PAD)).astype(np.int32)
+
+
 def tokens(text):
     """Token ids of a text in bytes."""
-    return (word_hashes(text.split()) % np.uint64(PAD)).astype(np.int32)
+    return ids_of(word_hashes(text.split()))
 
 
 def neighbours(ids):
@@ -190,7 +206,7 @@ def train(docs):
 
 
 def score(docs, net):
-    """``docs`` with ``n_tokens`` and ``pseudo_log_likelihood`` of each text."""
+    """``docs`` with ``n_tokens`` and ``pseudo_log_likelihood`` of the ids of each text."""
     net = docs.sparkSession.sparkContext.broadcast(net)
 
     def make():
@@ -219,3 +235,59 @@ def score(docs, net):
         return run
 
     return add_columns(docs, "n_tokens long, pseudo_log_likelihood double", make)
+
+
+def in_chunk(table, shards):
+    """Word hashes of each text of a chunk; the distinct ones by shard and hash, their shards, and how often each stands."""
+    texts = [word_hashes(t.split()) for t in as_bytes(table)]
+    words, n = np.unique(np.concatenate(texts), return_counts=True)
+    shard = ids_of(words).astype(np.int64) * shards // PAD
+    order = np.argsort(shard, kind="stable")
+    return texts, words[order], shard[order], n[order]
+
+
+def with_shares(docs):
+    """``docs`` with ``within``: the sum of ln P(word | id) over the words of each text, by the counts of all ``docs``."""
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    chunks = max(1, -(-size // CHUNK))
+    shards = min(PAD, chunks)
+    rows = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    names = docs.columns
+
+    def ask(table):
+        _, words, shard, n = in_chunk(table, shards)
+        found, first = np.unique(shard, return_index=True)
+        blocks = lambda values: pa.array([v.tobytes() for v in np.split(values, first[1:])][:len(found)], pa.binary())
+        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()] * len(found), pa.int64()), "shard": pa.array(found),
+                         "words": blocks(words), "n": blocks(n.astype(np.int64))})
+
+    def answer(table):
+        asked = [np.frombuffer(b, np.uint64) for b in table.column("words").to_pylist()]
+        words, at = np.unique(np.concatenate(asked), return_inverse=True)
+        n = np.bincount(at, np.frombuffer(b"".join(table.column("n").to_pylist()), np.int64))
+        ids = ids_of(words)
+        logs = np.log(n / np.bincount(ids, n)[ids]).astype(np.float32)[at]
+        parts = np.split(logs, np.cumsum([len(a) for a in asked])[:-1])
+        return pa.table({"chunk": table.column("chunk"), "shard": table.column("shard"),
+                         "logs": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+    def told(table, answers):
+        if not table.num_rows:
+            return table.select(names).append_column("within", pa.array([], pa.float64()))
+        texts, words, _, _ = in_chunk(table, shards)
+        logs = np.frombuffer(b"".join(answers.sort_by("shard").column("logs").to_pylist()), np.float32).astype(np.float64)
+        order = np.argsort(words)
+        words, logs = words[order], logs[order]
+        return table.select(names).append_column("within", pa.array([float(logs[np.searchsorted(words, t)].sum()) for t in texts]))
+
+    asked = rows.groupBy("chunk").applyInArrow(ask, "chunk long, shard long, words binary, n binary")
+    answers = asked.groupBy("shard").applyInArrow(answer, "chunk long, shard long, logs binary")
+    schema = StructType([*docs.schema.fields, StructField("within", DoubleType())])
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(told, schema)
+
+
+def score_words(docs, net):
+    """``docs`` with ``n_tokens`` and ``pseudo_log_likelihood`` of the words, not only the ids, of each text."""
+    kept = docs.drop("n_tokens", "pseudo_log_likelihood", "within", "chunk")
+    return score(with_shares(kept), net).withColumn(
+        "pseudo_log_likelihood", F.col("pseudo_log_likelihood") + F.col("within")).drop("within")

@@ -81,7 +81,7 @@ def op9_kneser_ney_quality(spark, sf_dir):
 @query
 def op1_pseudo_likelihood(spark, sf_dir):
     docs = whole_texts(table(spark, sf_dir, "documents"))
-    return lm.score(docs, lm.train(docs)).select(
+    return lm.score_words(docs, lm.train(docs)).select(
         "doc_id", "n_tokens", "pseudo_log_likelihood",
         F.try_divide("pseudo_log_likelihood", "n_tokens").alias("mean_log_probability"))
 

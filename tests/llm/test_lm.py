@@ -68,3 +68,21 @@ def test_held_out_likelihood(spark):
     got = mean(lm.train(train))
     assert got > mean(lm.start()) + 0.5 and got > unigram - 0.3, (got, unigram)
     assert QUERIES["op1_pseudo_likelihood"](spark, "/root/testdata/sf0.001").count() == 200
+
+
+def test_words_of_one_id_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 400)
+    known = {}
+    pair = next((known[i], w) for w in (f"w{n}" for n in range(10_000))
+                for i in [int(lm.tokens(w.encode())[0])] if known.setdefault(i, w) != w)
+    rows = [(i, f"see {pair[0]} there") for i in range(60)] + [(100, f"see {pair[1]} there"), (None, None), (101, ""), (101, "")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, chunk int")
+    net = lm.train(docs)
+    by_id = {r.text: r.pseudo_log_likelihood for r in lm.score(docs, net).collect()}
+    got = lm.score_words(docs, net).collect()
+    assert len(got) == len(rows) and {r.n_tokens for r in got} == {0, 3}
+    found = {r.text: r.pseudo_log_likelihood for r in got}
+    for word, n in zip(pair, (60, 1)):
+        assert abs(found[f"see {word} there"] - by_id[f"see {word} there"] - np.log(n / 61)) < 1e-4
+    assert found[None] == found[""] == 0
+    assert lm.score_words(docs.limit(0), net).count() == 0
