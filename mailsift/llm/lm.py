@@ -17,8 +17,7 @@ back, so a frequent word is one entry per chunk. Nothing of the vocabulary is on
 Network (numpy): embeddings of the neighbours, weighted per position, summed, and squashed to a hidden
 layer; from it the first digit; from it and an embedding of the first digit the second one.
 
-Training covers all documents: of each, every ``EVERY``-th token is masked and predicted, from a start
-that a hash of the document decides. In each of ``ROUNDS`` rounds (documents fall into rounds by hash)
+Training covers all documents once: each token of each is masked and predicted. In each of ``ROUNDS`` rounds (documents fall into rounds by hash)
 every task trains a copy of the network on its documents; the copies are averaged, weighted by
 tokens. Copies are cut into parts and summed by Spark in groups of at most ``GROUP``, level by level,
 so what is gathered grows with the number of tasks but no task holds more than GROUP parts. Only the
@@ -34,11 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from mailsift.llm.arrow import add_columns, as_bytes, column, word_hashes
+from mailsift.llm.arrow import add_columns, as_bytes, word_hashes
 from mailsift.sources.shared import cut_lineage
 
 HIGH = LOW = 64
-SIDE, DIM, EVERY, ROUNDS = 2, 32, 6, 2
+SIDE, DIM, ROUNDS = 2, 32, 2
 CHUNK = 4_000_000
 STEP, BATCH, BLOCK = 0.1, 1024, 16_384
 GROUP, PARTS = 64, 16
@@ -136,20 +135,21 @@ class Trainer:
         self.ids.append(ids)
         self.waiting += len(ids)
         if self.waiting >= BATCH:
-            self.step()
+            self.step(self.waiting - self.waiting % BATCH)
 
-    def step(self):
-        if not self.waiting:
+    def step(self, n):
+        """Trains on the first ``n`` of the waiting tokens; the others go on waiting."""
+        if not n:
             return
         near, ids = np.concatenate(self.near), np.concatenate(self.ids)
-        for at in range(0, len(ids), BATCH):
-            found, rows = gradients(self.net, near[at:at + BATCH], ids[at:at + BATCH])
+        for at in range(0, n, BATCH):
+            found, rows = gradients(self.net, near[at:min(at + BATCH, n)], ids[at:min(at + BATCH, n)])
             for k, g in found.items():
                 where = rows if k == "embedding" else slice(None)
                 self.seen[k][where] += g * g
                 self.net[k][where] -= STEP * g / np.sqrt(self.seen[k][where])
-        self.trained += len(ids)
-        self.near, self.ids, self.waiting = [], [], 0
+        self.trained += n
+        self.near, self.ids, self.waiting = [near[n:]], [ids[n:]], len(ids) - n
 
 
 def trained_copies(docs, net):
@@ -157,12 +157,10 @@ def trained_copies(docs, net):
     def run(batches):
         trainer = Trainer(net)
         for batch in batches:
-            for text, offset in zip(as_bytes(batch), column(batch, "offset").to_pylist()):
-                ids = tokens(text)
-                masked = np.arange(offset % EVERY, len(ids), EVERY)
-                if len(masked):
-                    trainer.add(neighbours(ids)[masked], ids[masked])
-        trainer.step()
+            for ids in map(tokens, as_bytes(batch)):
+                if len(ids):
+                    trainer.add(neighbours(ids), ids)
+        trainer.step(trainer.waiting)
         if trainer.trained:
             parts = np.array_split(flat(trainer.net) * np.float32(trainer.trained), PARTS)
             yield pa.RecordBatch.from_arrays(
@@ -197,10 +195,10 @@ def averaged(copies):
 
 def train(docs):
     """The network trained on all documents (``doc_id``, ``text``)."""
-    rows = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).cast("int").alias("offset"))
+    rows = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).alias("round"))
     net = start()
     for i in range(ROUNDS):
-        part = rows.filter(F.pmod(F.xxhash64("offset"), F.lit(ROUNDS)) == i)
+        part = rows.filter(F.col("round") == i)
         net = averaged(trained_copies(part, net)) or net
     return net
 

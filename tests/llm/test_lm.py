@@ -86,3 +86,9 @@ def test_words_of_one_id_are_told_apart(spark, monkeypatch):
         assert abs(found[f"see {word} there"] - by_id[f"see {word} there"] - np.log(n / 61)) < 1e-4
     assert found[None] == found[""] == 0
     assert lm.score_words(docs.limit(0), net).count() == 0
+
+
+def test_every_token_of_every_document_is_trained(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 9), i) for i in range(300)] + [(300, None, 0)], "doc_id long, text string, offset int")
+    copies = lm.trained_copies(docs, lm.start()).select("task", "weight").distinct().collect()
+    assert sum(r.weight for r in copies) == sum(i % 9 for i in range(300))
