@@ -1,30 +1,36 @@
 """Personal data and what gives it away, with DataFrame functions only.
 
 Base spans are found by pattern: e-mail addresses, IP addresses, card and phone numbers. The method
-then adds terms that reveal them. The protected entities are the four kinds of personal data. From
-the corpus, with base spans taken out of the texts, it counts in how many documents a term stands and
-in how many it stands with a kind. With p the share of documents,
+then adds terms that reveal them. The protected entities are the four kinds of personal data, and each
+single value (one address, one number). From the corpus, with base spans taken out of the texts, it counts
+in how many documents a term stands and in how many it stands with an entity. With p the share of documents,
 
-    pointwise mutual information  PMI(kind; term) = ln(p(kind, term) / (p(kind) p(term)))
-    information content           IC(kind)        = -ln p(kind)
+    pointwise mutual information  PMI(entity; term) = ln(p(entity, term) / (p(entity) p(term)))
+    information content           IC(entity)        = -ln p(entity)
 
-and the disclosure of a kind by a term is PMI / IC: 0 for unrelated terms, 1 for a term that stands
-only where the kind does. Terms at or above ``generalise`` are replaced by their class, those at or
-above ``remove`` are taken out, in the documents that hold the kind. A term counts only if it stands
-with at least ``values`` different values of the kind, else it would just identify copies of one text.
+and the disclosure of an entity by a term is PMI / IC: 0 for unrelated terms, 1 for a term that stands
+only where the entity does. Terms at or above ``generalise`` are replaced by their class, those at or
+above ``remove`` are taken out: those that reveal a kind in the documents that hold the kind, those that
+reveal a single value in all documents. A term counts only if it stands with a kind in at least ``texts``
+different texts (base spans taken out; fewer are met by chance), and with a single value in at least
+``entity_texts``, else it would just identify copies of one text.
 
 Plan: base spans need no shuffle, they are array expressions within the row. Term counts are hashed
-and aggregated before the shuffle, so frequent words are no hot keys. Only documents with base spans
-(few) are joined, with their own terms; all others pass in the map. Nothing is broadcast by hint.
+and aggregated before the shuffle, so frequent words are no hot keys. Only documents with base spans, or
+with a term that passes a filter of fixed size made from the terms that reveal a single value, are joined
+with their own terms; all others pass in the map. Nothing is broadcast by hint.
 
 Defined cases: a null or empty text has no spans; repeated rows and null ids are handled row by row
 (a null id gets base spans only); an empty table gives none; other columns stay as they are, but for
 those that the operator adds.
 """
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from mailsift.functions.columns import let, offsets, running
+from mailsift.sources.shared import cut_lineage
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
@@ -36,6 +42,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 SPAN = "struct<start:int,rank:int,end:int,kind:string,text:string>"
 TERM = r"\p{L}"
+MARKS = 1 << 21  # bits of the filter for terms that reveal a single entity
 
 
 def digits(text):
@@ -94,50 +101,75 @@ def without_base(text):
     return text
 
 
-def revealing_terms(marked, generalise=0.8, remove=0.95, values=5):
-    """``kind``, ``term``, ``disclosure`` and ``action`` of the terms that reveal a kind.
+def revealing_terms(marked, generalise=0.8, remove=0.95, texts=5, entity_texts=2):
+    """``kind``, ``entity``, ``term``, ``disclosure`` and ``action`` of the terms that reveal a kind or a single entity.
 
-    ``marked`` has ``text`` and its ``base`` spans.
+    ``marked`` has ``text`` and its ``base`` spans. ``entity`` is a hash of kind and value; null for a whole kind.
     """
     rows = marked.select(F.coalesce("text", F.lit("")).alias("text"), "base")
     totals = rows.agg(F.count("*").alias("documents"), *[
         F.count_if(F.exists("base", of_kind(k))).alias(k) for k in KINDS]).first()
+    n = F.lit(totals["documents"]).cast("double")
     clean = F.when(F.size("base") > 0, without_base(F.col("text"))).otherwise(F.col("text"))
     everywhere = rows.select(F.explode(terms(clean)).alias("term")).groupBy(
         F.xxhash64("term").alias("hash")).agg(F.count("*").alias("n_term"))
-    holding = rows.filter(F.size("base") > 0).select(
-        terms(without_base(F.col("text"))).alias("terms"),
-        F.array_distinct(F.transform("base", lambda s: F.struct(
-            s["kind"].alias("kind"), F.xxhash64(s["text"]).alias("value")))).alias("entities"))
-    kinds = holding.select("terms", F.explode(F.array_distinct(F.transform("entities", lambda e: e["kind"]))).alias("kind"),
-                           F.col("entities"))
-    met = kinds.select("kind", F.explode("terms").alias("term"), F.transform(
-        F.filter("entities", lambda e: e["kind"] == F.col("kind")), lambda e: e["value"]).alias("entities"))
-    together = met.groupBy("kind", "term").agg(F.count("*").alias("n_both"))
-    distinct = met.select("kind", "term", F.explode("entities").alias("value")).distinct().groupBy(
-        "kind", "term").agg(F.count("*").alias("n_values")).filter(F.col("n_values") >= values)
-    candidates = together.join(distinct, ["kind", "term"]).withColumn("hash", F.xxhash64("term"))
-    n_kind = F.coalesce(*[F.when(F.col("kind") == k, F.lit(totals[k])) for k in KINDS]).cast("double")
-    n = F.lit(totals["documents"]).cast("double")
-    pmi = F.log(F.col("n_both") * n / (n_kind * F.col("n_term")))
-    scored = candidates.join(everywhere, "hash").withColumn("disclosure", F.when(n_kind < n, pmi / F.log(n / n_kind)))
+    holding = rows.filter(F.size("base") > 0).select(without_base(F.col("text")).alias("text"), protected().alias("about"))
+    n_about = holding.select(F.explode("about").alias("a")).filter("a.entity is not null").groupBy(
+        F.col("a.entity").alias("key")).agg(F.count("*").alias("n_value"))
+    met = holding.select(F.xxhash64("text").alias("of"), terms(F.col("text")).alias("terms"), F.explode("about").alias("a"))
+    together = met.select("of", "a.kind", "a.entity", F.explode("terms").alias("term")).groupBy(
+        "kind", "entity", "term", "of").agg(F.count("*").alias("n")).groupBy("kind", "entity", "term").agg(
+        F.sum("n").alias("n_both"), F.count("*").alias("n_texts")).filter(
+        F.col("n_texts") >= F.when(F.col("entity").isNull(), texts).otherwise(entity_texts))
+    hashed = F.xxhash64("term")
+    candidates = together.withColumns({"hash": hashed, "key": F.coalesce("entity", hashed)}).join(n_about, "key", "left")
+    n_entity = F.when(F.col("entity").isNull(), F.coalesce(*[
+        F.when(F.col("kind") == k, F.lit(totals[k])) for k in KINDS])).otherwise(F.col("n_value")).cast("double")
+    pmi = F.log(F.col("n_both") * n / (n_entity * F.col("n_term")))
+    scored = candidates.join(everywhere, "hash").withColumn("disclosure", F.when(n_entity < n, pmi / F.log(n / n_entity)))
     return scored.filter(F.col("disclosure") >= generalise).select(
-        "kind", "term", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
+        "kind", "entity", "term", "disclosure",
+        F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
+
+
+def protected():
+    """What the base spans of a document are about: its kinds (null ``entity``) and its single entities."""
+    of = lambda entity: F.array_distinct(F.transform("base", lambda s: F.struct(
+        s["kind"].alias("kind"), entity(s).alias("entity"))))
+    return F.concat(of(lambda s: F.lit(None).cast("long")), of(lambda s: F.xxhash64(s["kind"], s["text"])))
+
+
+def marks(hashes):
+    """A filter of fixed size for term hashes: a column test that no hash of ``hashes`` fails."""
+    places = lambda h: [F.pmod(x, F.lit(MARKS)).cast("int") for x in (h, F.shiftright(h, 24))]
+    marked = bytearray(MARKS // 8)
+    for r in hashes.select(F.explode(F.array(*places(F.col("hash")))).alias("at")).distinct().toLocalIterator():
+        marked[r["at"] // 8] |= 1 << r["at"] % 8
+    byte = lambda at: F.conv(F.hex(F.substring(F.lit(bytes(marked)), F.shiftright(at, 3) + 1, 1)), 16, 10).cast("int")
+    bit = lambda at: byte(at).bitwiseAND(F.call_function("shiftleft", F.lit(1), at.bitwiseAND(7))) != 0
+    return lambda h: reduce(lambda a, b: a & b, map(bit, places(h)))
 
 
-def sanitise(docs, generalise=0.8, remove=0.95, values=5):
+def sanitise(docs, generalise=0.8, remove=0.95, texts=5, entity_texts=2):
     """``docs`` with ``base`` (base spans), ``spans`` (all spans) and ``sanitised`` (the text with its spans replaced)."""
     docs = docs.drop("base", "spans", "sanitised")
     text = F.coalesce("text", F.lit(""))
     marked = docs.withColumn("base", base_spans(text))
-    revealing = revealing_terms(marked, generalise, remove, values)
-    clear = marked.filter(F.size("base") == 0).withColumn("spans", F.col("base")).withColumn("sanitised", F.col("text"))
-    holding = marked.filter(F.size("base") > 0)
-    own = holding.select("doc_id", F.explode(terms(without_base(text))).alias("term"),
-                         F.array_distinct(F.transform("base", lambda s: s["kind"])).alias("kinds"))
-    reveals = own.join(revealing, "term").filter(F.array_contains("kinds", F.col("kind"))).groupBy("doc_id", "term").agg(
-        F.max("action").alias("action")).groupBy("doc_id").agg(F.collect_list(F.struct("action", "term")).alias("reveals"))
-    joined = holding.join(reveals, "doc_id", "left")
+    revealing = cut_lineage(revealing_terms(marked, generalise, remove, texts, entity_texts))
+    naming = marks(revealing.filter("entity is not null").select(F.xxhash64("term").alias("hash")))
+    holds = F.size("base") > 0
+    named = F.filter(terms(text), lambda t: naming(F.xxhash64(t)))
+    names = F.size(named) > 0
+    clear = marked.filter(~holds & ~names).withColumn("spans", F.col("base")).withColumn("sanitised", F.col("text"))
+    others = marked.filter(holds | names).withColumn("text_hash", F.xxhash64("text"))
+    own = others.select(
+        "doc_id", "text_hash", F.explode(F.when(holds, terms(without_base(text))).otherwise(named)).alias("term"),
+        F.array_distinct(F.transform("base", lambda s: s["kind"])).alias("kinds"))
+    reveals = own.join(revealing, "term").filter(
+        F.col("entity").isNotNull() | F.array_contains("kinds", F.col("kind"))).groupBy("doc_id", "text_hash", "term").agg(
+        F.max("action").alias("action")).groupBy("doc_id", "text_hash").agg(
+        F.collect_list(F.struct("action", "term")).alias("reveals"))
+    joined = others.join(reveals, ["doc_id", "text_hash"], "left").drop("text_hash")
 
     def found(action):
         words = F.transform(F.filter("reveals", lambda r: r["action"] == action), lambda r: r["term"])
@@ -149,7 +181,8 @@ def sanitise(docs, generalise=0.8, remove=0.95, values=5):
         base, lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"]))))
     joined = joined.withColumn("spans", F.array_sort(F.concat("base", F.when(
         F.col("reveals").isNotNull(), extra).otherwise(F.expr(NONE)))))
-    joined = joined.withColumn("sanitised", replaced(text, F.col("spans"))).drop("reveals")
+    joined = joined.withColumn("sanitised", F.when(F.size("spans") > 0, replaced(text, F.col("spans"))).otherwise(
+        F.col("text"))).drop("reveals")
     return clear.unionByName(joined)
 
 

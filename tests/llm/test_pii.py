@@ -73,3 +73,23 @@ def test_overlapping_spans_become_one(spark):
         f"cast(array(named_struct('s', 1, 'r', 0, 'e', 4, 'k', 'email', 't', ''), "
         f"named_struct('s', 3, 'r', 1, 'e', 5, 'k', 'ip', 't', '')) as array<{pii.SPAN}>)")).alias("t"))
     assert df.first().t == "a[EMAIL]b"
+
+
+def test_a_name_beside_one_address_is_revealing(spark):
+    rows = [(i, f"from Kowalski k@x.org about topic {'abcdefghij'[i] * 4}") for i in range(10)]
+    rows += [(20 + i, "seldom copied Nowak n@x.org") for i in range(10)]
+    rows += [(100 + i, f"about topic from {'klmnopqrst'[i % 10] * 4}") for i in range(60)] + [(200, "ask Kowalski"), (201, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.revealing_terms(df.withColumn("base", pii.base_spans(F.coalesce("text", F.lit(""))))).collect()
+    assert {(r.kind, r.term, r.action) for r in found if r.entity is not None} == {("email", "kowalski", "remove")}
+    assert {(r.term, r.action) for r in found if r.entity is None} == {("kowalski", "generalise")}
+    got = {r.doc_id: r.sanitised for r in pii.sanitise(df).collect()}
+    assert got[0] == "from  [EMAIL] about topic aaaa" and got[200] == "ask " and got[201] is None and len(got) == len(rows)
+    assert got[20] == "seldom copied Nowak [EMAIL]" and got[100] == rows[20][1]
+
+
+def test_no_mark_is_missed(spark):
+    hashes = spark.range(3000).select("id", F.xxhash64("id").alias("hash"))
+    marked = pii.marks(hashes.filter("id < 1500"))
+    passed = {r.id for r in hashes.filter(marked(F.col("hash"))).collect()}
+    assert passed >= set(range(1500)) and len(passed) < 1520
