@@ -27,9 +27,14 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from mailsift.data.lists import MULTI_PART_SUFFIXES
+from mailsift.functions.columns import among
+from mailsift.functions.domains import is_ip, registrable
+
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 LIMIT, Z = 0.2, 1.645
 STRENGTH = (2.0, 1000.0)  # bounds of the number of pages that a prior weighs as much as
+IPS = "[ip]"  # the suffix of all IP addresses
 AZ, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,8 +56,12 @@ def fitting_rule(host, path, rules=RULES):
 
 
 def levels(host):
-    """Registered domain (last two labels) and suffix (last label) of a host."""
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+    """Registered domain and suffix of a host, without user and port; an IP address is a domain of its own."""
+    name = F.regexp_replace(host, r"(?s)^.*@|:[0-9]*\z", "")
+    domain = F.when(is_ip(name), name).otherwise(registrable(name))
+    suffix = F.when(is_ip(name), IPS).when(among(domain, MULTI_PART_SUFFIXES), domain).otherwise(
+        F.regexp_replace(domain, r"^[^.]*\.", ""))
+    return domain, suffix
 
 
 def strength(groups, bad, n, mean):

@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from mailsift.llm import reputation
 from mailsift.llm.registry import ORACLE_SQL, QUERIES
@@ -45,3 +46,20 @@ def test_bad_hosts_are_blocked_and_new_hosts_lean_on_their_domain(spark, limit,
         limit=limit).collect()}
     assert got[0].verdict == verdict and got[1003].verdict == "allow" and len(got) == len(rows)
     assert got[2000].labelled == 0 and got[2000].posterior_mean > 0.5 > got[1003].posterior_mean
+
+
+def test_levels_are_registered_domains(spark):
+    cases = {"a.shop.co.uk": ("shop.co.uk", "co.uk"), "shop.co.uk:80": ("shop.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"),
+             "b.com.au": ("b.com.au", "com.au"), "x.example.net": ("example.net", "net"), "net": ("net", "net"), "": ("", ""),
+             "10.1.2.3": ("10.1.2.3", "[ip]"), "u@10.1.2.3:8080": ("10.1.2.3", "[ip]"), "[::1]:80": ("[::1]", "[ip]")}
+    hosts = spark.createDataFrame([(h,) for h in cases], "host string")
+    got = {r[0]: (r[1], r[2]) for r in hosts.select("host", *reputation.levels(F.col("host"))).collect()}
+    assert got == cases
+
+
+def test_a_hot_site_does_not_block_others_below_its_suffix(spark):
+    rows = [(i, f"http://{h}/x") for i, h in enumerate(["bad.co.uk"] * 300 + [f"h{i % 40}.co.uk" for i in range(200)] + ["new.co.uk"])]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i < 300)) for i in range(500)], "page_id long, bad int")
+    got = {r.host: r for r in reputation.judge(pages, labels).collect()}
+    assert got["bad.co.uk"].verdict == "block" and got["h1.co.uk"].prior_mean < 0.3 < got["bad.co.uk"].prior_mean
