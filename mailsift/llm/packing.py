@@ -34,6 +34,7 @@ SHARD = 32_768  # pieces packed together
 REMEMBERED = 600_000  # words whose ids a task remembers
 BLOCK = 512  # texts whose unknown words are encoded in one call
 UNEVEN = re.compile(r"[^\S \n]|^[ ]|[ ]\Z")
+ADDED = {"<|endoftext|>": 50256}  # tokens that byte_bpe_50k.json reads in a text
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -87,10 +88,20 @@ def words(path):
     return Words(path)
 
 
-def pieces(docs, path, capacity=1024, end=2):
+def with_added(known, texts, added):
+    """Ids of texts; where an added token (``added``: string to id) stands, they hold its id."""
+    if not added:
+        return known.encode(texts)
+    pattern = re.compile("(" + "|".join(map(re.escape, added)) + ")")
+    parts = [pattern.split(t) for t in texts]  # every other part is an added token
+    ids = iter(known.encode([x for p in parts for x in p[::2]]))
+    return [b"".join(np.array([added[x]], "<u4").tobytes() if i % 2 else next(ids) for i, x in enumerate(p)) for p in parts]
+
+
+def pieces(docs, path, capacity=1024, end=2, added=None):
     """Pieces of at most ``capacity`` ids of every document (``doc_id``, ``text``), the end token included.
 
-    Only the first piece of a longer document may be shorter.
+    Only the first piece of a longer document may be shorter. Strings in ``added`` become their ids.
     """
     tail = np.array([end], "<u4").tobytes()
 
@@ -101,7 +112,8 @@ def pieces(docs, path, capacity=1024, end=2):
             keys, texts = column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist()
             for at in range(0, len(keys), BLOCK):
                 rows = []
-                for key, ids in zip(keys[at:at + BLOCK], known.encode([t or "" for t in texts[at:at + BLOCK]])):
+                for key, ids in zip(keys[at:at + BLOCK], with_added(
+                        known, [t or "" for t in texts[at:at + BLOCK]], added)):
                     ids += tail
                     n = len(ids) // 4
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]

@@ -26,7 +26,7 @@ def op6_bpe_tree(spark, sf_dir):
 @query
 def op10_sum_of_squares_packing(spark, sf_dir):
     # the ranks file holds the same vocabulary and merges as byte_bpe_50k.json
-    cut = packing.pieces(whole_texts(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    cut = packing.pieces(whole_texts(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.tiktoken"), added=packing.ADDED)
     return packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 

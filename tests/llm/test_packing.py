@@ -65,3 +65,10 @@ def test_best_fit_is_near_the_bound():
     lengths = np.random.default_rng(1).integers(1, 1024, 4000)
     sequences, _ = packing.sum_of_squares(lengths, 1024)
     assert sequences.max() + 1 <= 1.02 * lengths.sum() / 1024
+
+
+def test_added_token_as_the_json_tokenizer_reads_it():
+    known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|> x", "<|endoftext|>", "<|endoftext|><|endoftext|> b  c <|endoftext|>\n", "none <|endof", ""]
+    expected = [np.array(e.ids, "<u4").tobytes() for e in known.encode_batch(texts, add_special_tokens=False)]
+    assert packing.with_added(packing.Words(PATH), texts, packing.ADDED) == expected
