@@ -19,11 +19,22 @@ def whole_texts(docs, key="doc_id", text="text"):
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def add_columns(df, added, make):
+def small(batch, most):
+    """A batch in parts of at most ``most`` bytes, or one row where that is larger."""
+    if most is None or batch.num_rows < 2 or batch.nbytes <= most:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from small(batch.slice(0, half), most)
+        yield from small(batch.slice(half), most)
+
+
+def add_columns(df, added, make, most=None):
     """``df`` with columns computed per part of an Arrow batch; a column of the same name is replaced.
 
     ``make()`` runs once per task and returns a function from a batch to the list of new arrays. It
-    sees ``ROWS`` rows at a time, so that what they become in Python stays small.
+    sees ``ROWS`` rows at a time, and with ``most`` about so many bytes, so that what they become in
+    Python stays small.
     """
     added = StructType.fromDDL(added)
     kept = [f for f in df.schema.fields if f.name not in added.names]
@@ -33,8 +44,10 @@ def add_columns(df, added, make):
         compute = make()
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                yield pa.RecordBatch.from_arrays([column(batch, f.name) for f in kept] + compute(batch), names=names)
+                for batch in small(whole.slice(at, ROWS), most):
+                    if batch.num_rows:
+                        yield pa.RecordBatch.from_arrays([column(batch, f.name) for f in kept] + compute(batch),
+                                                         names=names)
 
     return df.mapInArrow(run, StructType(kept + added.fields))
 

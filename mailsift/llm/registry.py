@@ -4,7 +4,8 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from mailsift.llm import bpe, fingerprints, lm, minhash, neighbours, packing, pii, quality, repeats, reputation
+from mailsift.llm import (bpe, fingerprints, lm, middle, minhash, neighbours, packing, pii, quality, repeats,
+                          reputation)
 from mailsift.llm.arrow import table, whole_texts
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -86,6 +87,15 @@ def op1_pseudo_likelihood(spark, sf_dir):
         F.try_divide("pseudo_log_likelihood", "n_tokens").alias("mean_log_probability"))
 
 
+@query
+def op13_piece_table(spark, sf_dir):
+    rows = middle.restore(middle.transform(whole_texts(table(spark, sf_dir, "documents"))))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+ORACLE_SQL["op13_piece_table"] = middle.oracle_sql()
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
