@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from mailsift.llm import (bpe, fingerprints, lm, middle, minhash, neighbours, packing, pii, quality, repeats,
-                          reputation)
+                          reputation, variants)
 from mailsift.llm.arrow import table, whole_texts
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -87,6 +87,11 @@ def op1_pseudo_likelihood(spark, sf_dir):
         F.try_divide("pseudo_log_likelihood", "n_tokens").alias("mean_log_probability"))
 
 
+@query
+def op11_finite_state_composition(spark, sf_dir):
+    return variants.grouped(variants.vocabulary(table(spark, sf_dir, "documents"), shortest=7, least=2, every=31), factor=10)
+
+
 @query
 def op13_piece_table(spark, sf_dir):
     rows = middle.restore(middle.transform(whole_texts(table(spark, sf_dir, "documents"))))
