@@ -4,7 +4,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from mailsift.llm import (bpe, fingerprints, lm, middle, minhash, neighbours, packing, pii, quality, repeats,
+from mailsift.llm import (bpe, fingerprints, leaks, lm, middle, minhash, neighbours, packing, pii, quality, repeats,
                           reputation, variants)
 from mailsift.llm.arrow import table, whole_texts
 
@@ -92,6 +92,18 @@ def op11_finite_state_composition(spark, sf_dir):
     return variants.grouped(variants.vocabulary(table(spark, sf_dir, "documents"), shortest=7, least=2, every=31), factor=10)
 
 
+@query
+def op12_suffix_automaton(spark, sf_dir):
+    docs, items = whole_texts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    return leaks.contamination(docs, items, window=10).select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+ORACLE_SQL["op12_suffix_automaton"] = leaks.oracle_sql()
+
+
 @query
 def op13_piece_table(spark, sf_dir):
     rows = middle.restore(middle.transform(whole_texts(table(spark, sf_dir, "documents"))))
