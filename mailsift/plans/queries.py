@@ -543,7 +543,8 @@ def stream_band_window(spark, d):
 
 @query
 def stream_dedupe(spark, d):
-    return jobs.append_available(jobs.dedupe(mail.mails_of(jobs.order_stream(spark, d))).select("text_hash"))
+    sighted = jobs.update_available(jobs.sightings(mail.mails_of(jobs.order_stream(spark, d))), ["text_hash", "bucket"])
+    return jobs.fresh(sighted).select("text_hash")
 
 
 @query
@@ -552,6 +553,20 @@ def sender_burst(spark, d):
                                  ["window_start", "sender_domain"])
 
 
+@query
+def stream_session(spark, d):
+    return jobs.append_available(jobs.sender_session(_mail_verdicts(mail.mails_of(jobs.order_stream(spark, d)))))
+
+
+@query
+def stream_domain_leaderboard(spark, d):
+    """Domains by messages over the stream; a message counts once for each domain that it names."""
+    df = urls.with_urls(headers.with_headers(messages.prepare(mail.mails_of(jobs.order_stream(spark, d)))))
+    named = each(df, F.array_distinct(F.transform("urls", lambda u: domains.registrable(u["host"]))), "ts")
+    sketches = jobs.update_available(jobs.domain_sketch(named.select("ts", F.col("x").alias("domain"))), ["window_start"])
+    return jobs.top_domains(sketches)
+
+
 @query
 def sender_session(spark, d):
     return corpus.sender_sessions(_mail_verdicts(mail.mails(spark, d)), gap_minutes=7 * 24 * 60).select(

@@ -512,6 +512,12 @@ FINAL = {
     "sender_session": """SELECT sender_domain, min(ts) AS session_start, max(ts) AS session_end, count(*) AS mails, count(*) FILTER (band = 'high') AS high FROM
         (SELECT *, sum(starts) OVER (PARTITION BY sender_domain ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER
         (PARTITION BY sender_domain ORDER BY ts) <= INTERVAL 7 DAY THEN 0 ELSE 1 END AS starts FROM mail_score)) GROUP BY sender_domain, session""",
+    "stream_session": """SELECT sender_domain, min(ts) AS session_start, max(ts) AS session_end, count(*) AS mails, count(*) FILTER (band = 'high') AS high FROM
+        (SELECT *, sum(starts) OVER (PARTITION BY sender_domain ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER
+        (PARTITION BY sender_domain ORDER BY ts) <= INTERVAL 7 DAY THEN 0 ELSE 1 END AS starts FROM mail_score)) GROUP BY sender_domain, session
+        HAVING max(ts) + INTERVAL 14 DAY <= (SELECT max(ts) FROM mail_score)""",
+    "stream_domain_leaderboard": """SELECT registrable AS domain, count(DISTINCT msg_id) AS messages FROM url JOIN host USING (host) JOIN mails USING (msg_id)
+        GROUP BY registrable ORDER BY messages DESC, registrable LIMIT 20""",
 }
 cte("page_link", "SELECT page_id AS msg_id, url AS raw FROM pages")
 parsed("page_url", "page_link", "raw")

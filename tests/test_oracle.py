@@ -12,7 +12,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "conversations").split()
 # The full set is compared by the driver; these cover each part of the pipeline once.
 CHECKED = ["header_kv", "url_flags", "findings_union", "verdict", "recommendations", "duplicate_collapse",
-           "stream_dedupe", "sender_session", "band_lookup", "band_distribution", "golden_check", "remote_hosts", "header_gate",
+           "stream_dedupe", "sender_session", "stream_session", "stream_domain_leaderboard", "band_lookup", "band_distribution", "golden_check", "remote_hosts", "header_gate",
            "text_evidence", "lookup_dims", "report_fields"]
 
 

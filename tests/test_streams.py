@@ -6,6 +6,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from mailsift.plans.corpus import sender_sessions
 from mailsift.sources import mail
 from mailsift.streaming import jobs
 
@@ -46,14 +47,17 @@ def verdicts(df):
 JOBS = {
     "band_window": lambda df, f: jobs.update_available(jobs.band_window(verdicts(df)), ["window_start", "band"], f),
     "sender_burst": lambda df, f: jobs.update_available(jobs.sender_burst(verdicts(df)), ["window_start", "sender_domain"], f),
-    "dedupe": lambda df, f: jobs.append_available(jobs.dedupe(df), f),
+    "dedupe": lambda df, f: jobs.fresh(jobs.update_available(jobs.sightings(df), ["text_hash", "bucket"], f)),
+    "sender_session": lambda df, f: jobs.append_available(jobs.sender_session(verdicts(df), "5 hours"), f),
+    "top_domains": lambda df, f: jobs.top_domains(jobs.update_available(jobs.domain_sketch(
+        verdicts(df).withColumnRenamed("sender_domain", "domain"), days=3), ["window_start"], f)),
 }
 
 
 @pytest.mark.parametrize("name", JOBS)
 def test_batches_and_a_restart_change_nothing(spark, folder, tmp_path, name):
     rows = lambda df: sorted(map(tuple, df.collect()))
-    several = "ordered" if name == "dedupe" else "four"
+    several = "four"
     once = rows(JOBS[name](messages(spark, folder, "one"), str(tmp_path / "one")))
     assert once and once == rows(JOBS[name](messages(spark, folder, several), str(tmp_path / "several")))
     growing = folder / "growing" / name
@@ -71,5 +75,36 @@ def test_a_text_counts_again_after_a_week(spark, folder, tmp_path):
         "o_orderkey", "o_custkey", "timestamp_ntz'1996-01-01' + make_interval(0, 0, 0, d) as o_orderdate").write.parquet(
         str(tmp_path / "in" / "orders.parquet"))
     stream = mail.mails_of(spark.readStream.schema(jobs.ORDERS).parquet(str(tmp_path / "in" / "orders.parquet")))
-    got = jobs.append_available(jobs.dedupe(stream), str(tmp_path / "out")).collect()
+    got = jobs.fresh(jobs.update_available(jobs.sightings(stream), ["text_hash", "bucket"], str(tmp_path / "out"))).collect()
     assert sorted(r.ts.day for r in got) == [2, 21]
+
+
+def test_sessions_of_a_stream_equal_those_of_the_batch(spark, folder, tmp_path):
+    """All sessions that are over: the watermark is a week behind the last mail."""
+    got = jobs.append_available(jobs.sender_session(verdicts(messages(spark, folder, "four")), "5 hours"), str(tmp_path))
+    batch = verdicts(mail.mails_of(spark.read.schema(jobs.ORDERS).parquet(str(folder / "four"))))
+    last = batch.agg(F.max("ts")).first()[0]
+    ended = sender_sessions(batch, 300).filter(F.col("session_end") + F.expr("interval 7 days 5 hours") <= F.lit(last))
+    rows = lambda df: sorted(map(tuple, df.select("sender_domain", "session_start", "session_end", "mails", "high").collect()))
+    assert rows(got) == rows(ended) and len(rows(got)) > 20
+
+
+def test_states_need_no_python(spark, folder):
+    stream = messages(spark, folder, "one")
+    for df in (jobs.sightings(stream), jobs.sender_session(verdicts(stream)), jobs.domain_sketch(
+            verdicts(stream).withColumnRenamed("sender_domain", "domain"))):
+        text = df._jdf.queryExecution().analyzed().toString()
+        assert "ython" not in text and "Pandas" not in text and "Aggregate" in text
+
+
+def test_summary_of_more_domains_than_it_tracks(spark, tmp_path):
+    """Frequent domains stay within the stated bound however many rare ones arrive."""
+    rows = spark.range(40_000).selectExpr("timestamp'1996-01-01' + make_interval(0, 0, 0, id % 60) AS ts",
+                                          "CASE WHEN id % 4 = 0 THEN concat('hot', id % 5) ELSE concat('rare', id) END AS domain")
+    rows.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    kept = jobs.update_available(jobs.domain_sketch(stream, tracked=512, lateness="90 days"), ["window_start"], str(tmp_path / "out"))
+    assert max(len(r.sketch.sketch) for r in kept.collect()) < 512 * 40
+    top = {r.domain: r.messages for r in jobs.top_domains(kept, 5, tracked=512).collect()}
+    assert set(top) == {f"hot{i}" for i in range(5)}
+    assert all(abs(n - 2000) <= 40_000 * 3.5 / 512 for n in top.values())
