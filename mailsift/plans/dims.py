@@ -43,3 +43,16 @@ def lookup(spark):
              "host_stopword": lists.HOST_STOPWORDS, "severity": list(lists.SEVERITIES),
              "category": lists.CATEGORY_ORDER, "band": [b[0] for b in catalogue.BANDS]}
     return spark.createDataFrame([(n, v) for n, values in named.items() for v in values], "list string, entry string")
+
+
+def brand_token(spark):
+    """Words that stand for a brand, in the order of the brands."""
+    return spark.createDataFrame([(i, brand, t) for i, (brand, tokens, _) in enumerate(lists.BRANDS, 1) for t in tokens],
+                                 "brand_ord int, brand string, token string")
+
+
+def brand_domain(spark):
+    """Domains that belong to a brand, in list order."""
+    owned = [(i, brand, d) for i, (brand, _, domains) in enumerate(lists.BRANDS, 1) for d in domains]
+    return spark.createDataFrame([(n, *row) for n, row in enumerate(owned, 1)],
+                                 "domain_ord int, brand_ord int, brand string, domain string")

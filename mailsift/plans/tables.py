@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from mailsift.functions import domains
 from mailsift.operators import attachments, scoring
 from mailsift.operators.findings import rows
+from mailsift.plans import dims, lookalikes
+from mailsift.sources.shared import cut_lineage
 
 
 def each(df, column, *keep, ord_name="ord"):
@@ -53,17 +55,24 @@ def host_profile(df):
     """What there is to know about a host, once per distinct host of the corpus.
 
     Messages naming a host are counted before the shuffle, so a host that a third
-    of all messages name arrives as one row per task.
+    of all messages name arrives as one row per task. Brands are met by index joins.
     """
+    spark = df.sparkSession
     named = each(df, F.array_distinct(F.transform("urls", lambda u: u["host"])), "msg_id")
-    hosts = named.groupBy(F.col("x").alias("host")).agg(F.count("*").alias("messages"))
+    hosts = cut_lineage(named.groupBy(F.col("x").alias("host")).agg(F.count("*").alias("messages"))
+                        .withColumn("registrable", domains.registrable(F.col("host"))))
+    brands, owned = dims.brand_token(spark), dims.brand_domain(spark)
     h, reg = F.col("host"), F.col("registrable")
-    return (hosts.withColumn("registrable", domains.registrable(h))
-            .withColumn("brand_ord", domains.brand_in_host(h)).withColumn("typo", domains.typosquat(h, reg))
+    typo = lookalikes.typosquats(hosts, owned).select(
+        "host", F.col("brand").alias("typo_brand"), F.col("domain").alias("typo_domain"), F.col("distance").alias("typo_distance"))
+    official = owned.select("brand_ord", F.col("domain").alias("registrable"), F.lit(True).alias("is_official"))
+    return (hosts.join(lookalikes.in_host(hosts, brands), "host", "left")
+            .join(brands.select("brand_ord", "brand").distinct(), "brand_ord", "left")
+            .join(official, ["brand_ord", "registrable"], "left").join(typo, "host", "left")
             .select("host", "messages", "registrable", domains.core_of(reg).alias("core"),
                     domains.last_label(h).alias("tld"), domains.is_ip(h).alias("is_ip"),
-                    F.coalesce(domains.brand_name(F.col("brand_ord")), F.lit("")).alias("brand"),
-                    F.coalesce(domains.brand_owns(F.col("brand_ord"), reg), F.lit(False)).alias("is_official"),
-                    F.coalesce("typo.brand", F.lit("")).alias("typo_brand"),
-                    F.coalesce("typo.domain", F.lit("")).alias("typo_domain"),
-                    F.coalesce("typo.distance", F.lit(0)).cast("bigint").alias("typo_distance")))
+                    F.coalesce("brand", F.lit("")).alias("brand"),
+                    F.coalesce("is_official", F.lit(False)).alias("is_official"),
+                    F.coalesce("typo_brand", F.lit("")).alias("typo_brand"),
+                    F.coalesce("typo_domain", F.lit("")).alias("typo_domain"),
+                    F.coalesce("typo_distance", F.lit(0)).cast("bigint").alias("typo_distance")))
