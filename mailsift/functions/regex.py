@@ -7,9 +7,9 @@ Three differences matter for right results:
 * ``\\s`` must include no-break, ideographic and other wide spaces.
 * ``$`` must be the very end of the text, written ``\\z``.
 
-A group repeat without an upper bound recurses once per round in the JVM and
-can overflow the stack, so host labels repeat at most ``MAX_LABELS`` times (a
-DNS name cannot have more).
+A group repeat recurses once per round in the JVM and can overflow the stack, so
+the labels of a long host are taken in atomic blocks, which leave no frames.
+A label ends at its dot, so nothing inside of a block could match otherwise.
 """
 
 import re
@@ -24,7 +24,7 @@ WS_IN_LINE = WS.replace(r"\n", "")
 NOT_AFTER_WORD = r"(?<![A-Za-z0-9_])"
 NOT_BEFORE_WORD = r"(?![A-Za-z0-9_])"
 BOUNDARY = (rf"(?:(?<=[A-Za-z0-9_]){NOT_BEFORE_WORD}|{NOT_AFTER_WORD}(?=[A-Za-z0-9_]))")
-MAX_LABELS = 127
+BLOCK = 64  # labels
 
 
 def _boundary(match):
@@ -45,7 +45,7 @@ def jvm(pattern, ignore_case=True):
 _LABEL = r"(?:[a-z0-9](?:[a-z0-9_-]{0,61}[a-z0-9])?\.)"
 # The lookahead lets a label that is no known suffix fail before the long alternation is tried.
 _KNOWN_TLD = rf"(?=[a-z]{{2,8}}{NOT_BEFORE_WORD})(?:{'|'.join(lists.all_tlds())}){NOT_BEFORE_WORD}"
-HOST = rf"{_LABEL}{{1,{MAX_LABELS}}}{_KNOWN_TLD}"
+HOST = rf"{_LABEL}(?>{_LABEL}{{{BLOCK}}})*{_LABEL}{{0,{2 * BLOCK - 2}}}{_KNOWN_TLD}"
 
 SCHEME_URL = rf"""(?i){NOT_AFTER_WORD}(?:hxxps?|https?|ftps?)[{WS}]*:[{WS}]*//[^{WS}<>"'`]+"""
 # A leading at sign or slash is taken along so that such hosts can be told apart.

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from mailsift.data import lists
-from mailsift.functions.columns import among, compact, gaps, let, offsets, once
+from mailsift.functions.columns import among, compact, contained, gaps, let, offsets, once, where
 from mailsift.functions.regex import FILE_NAME, NOT_BEFORE_WORD
 from mailsift.operators.findings import finding, no_findings
 
@@ -32,8 +32,12 @@ def mentions(body):
 
 def outside(files, spans):
     """Files that no span contains (anti join on an interval, inside the row)."""
-    return let(spans, lambda ss: F.filter(files, lambda f: ~F.exists(
-        ss, lambda s: (f["start"] >= s["start"]) & (f["end"] <= s["end"]))))
+    return let(files, lambda fs: where(fs, contained(fs, spans), False))
+
+
+def inside(files, spans):
+    """Files that a span contains."""
+    return let(files, lambda fs: where(fs, contained(fs, spans)))
 
 
 @once

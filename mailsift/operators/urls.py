@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mailsift.data import catalogue, lists
 from mailsift.functions import domains
-from mailsift.functions.columns import among, compact, first_of_each, gaps, let, offsets, once, text_list
+from mailsift.functions.columns import among, compact, first_of_each, gaps, is_first, let, offsets, once, text_list, where
 from mailsift.functions.regex import BARE_HOST, NOT_BEFORE_WORD, SCHEME_URL, jvm
 from mailsift.operators.findings import finding, no_findings
 from mailsift.operators.headers import _fill
@@ -74,8 +74,8 @@ def _scheme_links(body):
     return F.when(F.contains(body, F.lit("//")), let(found, build))
 
 
-def _bare_links(body, kept, scheme_keys):
-    """Hosts written without a scheme, looked for where no kept link stands.
+def _bare_links(body, kept):
+    """Hosts written without a scheme, looked for where no kept link stands; they may repeat links or each other.
 
     A host can neither begin before a link and end in it nor the other way
     round, so blanking the kept links is the same as testing every host against
@@ -91,8 +91,7 @@ def _bare_links(body, kept, scheme_keys):
     def link(z):
         host = F.lower(z["hit"])
         blank = F.lit("")
-        fresh = ~z["hit"].rlike("^[@/]") & ~F.array_contains(scheme_keys, F.concat(F.lit("http://"), host))
-        return F.when(fresh, F.struct(
+        return F.when(~z["hit"].rlike("^[@/]"), F.struct(
             z["hit"], F.concat(F.lit("http://"), host), F.lit("(none)"), host, blank, blank, blank,
             z["start"], z["start"] + F.length(z["hit"]), F.lit(False), F.lit(True)).cast(URL))
 
@@ -101,7 +100,7 @@ def _bare_links(body, kept, scheme_keys):
                             F.regexp_extract_all(text, F.lit(BARE_HOST), F.lit(0)).alias("hits")), build)
 
     hosts = let(masked, lambda m: F.when(m.rlike(_SUFFIX_SEEN), search(m)))
-    return first_of_each(F.coalesce(hosts, F.array().cast(f"array<{URL}>")), lambda u: u["normalized"])
+    return F.coalesce(hosts, F.array().cast(f"array<{URL}>"))
 
 
 @once
@@ -109,20 +108,19 @@ def _urls():
     """Distinct links of the body: those with a scheme first, then bare hosts, each in text order."""
     body, no_urls = F.col("body"), F.array().cast(f"array<{URL}>")
 
+    key = lambda u: F.lower(u["normalized"])
+
     def combine(s):
         links = F.coalesce(s["links"], no_urls)
-        return let(first_of_each(links, lambda u: F.lower(u["normalized"])), lambda first: let(
-            F.transform(first, lambda u: u["start"]), lambda starts: F.concat(
-                first, _bare_links(body, pieces(s, starts),
-                                   F.transform(first, lambda u: F.lower(u["normalized"]))))))
+        return let(is_first(links, key), lambda first: first_of_each(F.concat(
+            where(links, first), _bare_links(body, pieces(s, first))), key))
 
-    def pieces(s, starts):
+    def pieces(s, first):
         """Texts around links, with kept links blanked and dropped ones left as they are."""
         return F.flatten(F.transform(
-            F.arrays_zip(s["gaps"].alias("gap"), s["hits"].alias("hit"), s["links"].alias("link")),
+            F.arrays_zip(s["gaps"].alias("gap"), s["hits"].alias("hit"), first.alias("first")),
             lambda z: F.array(z["gap"], F.coalesce(F.when(
-                F.array_contains(starts, z["link"]["start"]), F.repeat(F.lit(" "), F.length(z["hit"])))
-                .otherwise(z["hit"]), F.lit("")))))
+                z["first"], F.repeat(F.lit(" "), F.length(z["hit"]))).otherwise(z["hit"]), F.lit("")))))
 
     return let(_scheme_links(body), combine)
 

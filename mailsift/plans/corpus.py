@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from mailsift.data import catalogue
-from mailsift.functions.columns import constant
+from mailsift.functions.columns import constant, is_first
 from mailsift.plans import dims
 from mailsift.plans.tables import each
 from mailsift.sources.shared import cut_lineage
@@ -71,19 +71,14 @@ def rule_cooccurrence(analysed):
 
 def domain_leaderboard(df, k=20):
     """Registrable domains by messages, with scored flags and the worst tone; needs links."""
-    tone = F.transform("links", lambda d: F.struct(
-        d["registrable"].alias("registrable"),
+    flagged = F.zip_with("links", is_first(F.col("links"), lambda d: d["registrable"]), lambda d, first: F.struct(
+        d["registrable"].alias("registrable"), first.cast("bigint").alias("messages"),
         F.size(F.filter(d["flags"], lambda f: f["tone"] != "ok")).alias("flags"),
         F.when(F.exists(d["flags"], lambda f: f["tone"] == "bad"), 2)
         .when(F.exists(d["flags"], lambda f: f["tone"] == "warn"), 1).otherwise(0).alias("tone")))
-    per_message = F.transform(F.array_distinct(F.transform("links", lambda d: d["registrable"])), lambda r: F.aggregate(
-        F.filter("tones", lambda t: t["registrable"] == r),
-        F.struct(r.alias("registrable"), F.lit(0).alias("flags"), F.lit(0).alias("tone")),
-        lambda acc, t: F.struct(acc["registrable"].alias("registrable"), (acc["flags"] + t["flags"]).alias("flags"),
-                                F.greatest(acc["tone"], t["tone"]).alias("tone"))))
-    named = each(df.withColumn("tones", tone), per_message, "msg_id").select("x.*")
+    named = each(df, flagged, "msg_id").select("x.*")
     totals = named.groupBy("registrable").agg(
-        F.count("*").alias("messages"), F.sum("flags").cast("bigint").alias("flags"), F.max("tone").alias("tone"))
+        F.sum("messages").alias("messages"), F.sum("flags").cast("bigint").alias("flags"), F.max("tone").alias("tone"))
     return (totals.orderBy(F.desc("messages"), "registrable").limit(k)
             .select("registrable", "messages", "flags",
                     F.element_at(constant("array('ok', 'warn', 'bad')"), F.col("tone") + 1).alias("worst_tone")))

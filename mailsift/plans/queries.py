@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mailsift.data import lists
 from mailsift.functions import domains
-from mailsift.functions.columns import constant, text_list
+from mailsift.functions.columns import constant, runs, text_list
 from mailsift.operators import attachments, findings, headers, html, messages, scoring, text_rules, urls
 from mailsift.plans import corpus, dims, reports, tables
 from mailsift.plans.analysis import VERDICT, analyse, verdict
@@ -196,13 +196,10 @@ def content_profile(spark, d):
 @query
 def first_seen_dedupe(spark, d):
     """Of equal file names the first place counts."""
-    def fold(found):
-        return F.transform(F.array_distinct(F.transform(found, lambda f: f["name"])), lambda n: F.struct(
-            n.alias("name"), F.array_min(F.transform(F.filter(found, lambda f: f["name"] == n), lambda f: f["start"]))
-            .cast("bigint").alias("first_pos"),
-            F.size(F.filter(found, lambda f: f["name"] == n)).cast("bigint").alias("mentions")))
+    seen = runs(F.col("found"), lambda f: f["name"], lambda f: f["start"])
     df = _headers(spark, d).withColumn("found", attachments.mentions(F.col("body")))
-    return each(df, fold(F.col("found")), "msg_id").select("msg_id", "ord", "x.*")
+    return each(df, seen, "msg_id").select("msg_id", "ord", F.col("x.key").alias("name"), F.col("x.at").cast("bigint").alias("first_pos"),
+                                           F.col("x.n").cast("bigint").alias("mentions"))
 
 
 @query
@@ -210,8 +207,7 @@ def span_containment(spark, d):
     """File names that a link contains and that are therefore no files."""
     spans = F.transform("urls", lambda u: F.struct(u["start"].alias("start"), u["end"].alias("end")))
     df = _urls(spark, d).withColumn("found", attachments.mentions(F.col("body"))).withColumn("spans", spans)
-    inside = F.array_except(F.col("found"), attachments.outside(F.col("found"), F.col("spans")))
-    return each(df, inside, "msg_id").select("msg_id", "x.name", F.col("x.start").cast("bigint").alias("start_pos"),
+    return each(df, attachments.inside(F.col("found"), F.col("spans")), "msg_id").select("msg_id", "x.name", F.col("x.start").cast("bigint").alias("start_pos"),
                                              F.col("x.end").cast("bigint").alias("end_pos"))
 
 
