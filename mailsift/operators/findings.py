@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from mailsift.data import catalogue, lists
+from mailsift.data import lists
 from mailsift.functions.columns import constant, let
 
 FINDING = ("struct<rule_id:string,points:int,severity:string,sev_rank:int,"
@@ -25,11 +25,11 @@ def no_findings():
     return constant(f"cast(array() as array<{BARE}>)")
 
 
-def with_metadata(findings):
-    """Adds what the score needs of each finding's rule, from one constant map (59 rows)."""
+def with_metadata(findings, rules):
+    """Adds what the score needs of each finding's rule, from one constant map (a row per rule)."""
     meta = constant("map({})".format(", ".join(
         f"'{r.rule_id}', named_struct('points', {r.points}, 'severity', '{r.severity}', "
-        f"'sev_rank', {lists.SEVERITIES[r.severity][0]})" for r in catalogue.ALL_RULES)))
+        f"'sev_rank', {lists.SEVERITIES[r.severity][0]})" for r in rules.rules)))
     return F.transform(findings, lambda f: let(F.element_at(meta, f["rule_id"]), lambda m: F.struct(
         f["rule_id"], m["points"], m["severity"], m["sev_rank"], f["evidence"], f["extra"]).cast(FINDING)))
 

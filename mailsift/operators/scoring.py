@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from mailsift.data import catalogue, lists
-from mailsift.functions.columns import compact, constant, first_of_each, let, once, sql_text, text_list
+from mailsift.functions.columns import among, compact, constant, first_of_each, let, once, sql_text, text_list
 from mailsift.operators.findings import finding, with_metadata
+from mailsift.operators.rulebook import BUILT_IN
 
 PARTS = ["text_findings", "url_findings", "attachment_findings", "html_findings", "header_findings"]
 
@@ -15,22 +16,25 @@ def with_hosts(df):
 
 
 @once
-def _findings():
+def _findings(rules):
     def combos(ids):
         def combo(rule):
-            first, second = catalogue.COMBO_CLAUSES[rule.rule_id]
+            first, second = rules.combos[rule.rule_id]
             shown = F.slice("hosts", 1, 2) if rule.rule_id == "combo_credential_link" else ()
             return F.when(F.arrays_overlap(ids, text_list(first)) & F.arrays_overlap(ids, text_list(second)),
                           finding(rule.rule_id, shown))
-        return compact(*[combo(r) for r in catalogue.COMBO_RULES])
+        return compact(*[combo(r) for r in rules.combo_rules])
 
     return with_metadata(F.concat("base_findings", let(
-        F.transform("base_findings", lambda f: f["rule_id"]), combos)))
+        F.transform("base_findings", lambda f: f["rule_id"]), combos)), rules)
 
 
-def with_findings(df):
+def with_findings(df, rules=BUILT_IN):
     """Adds base_findings (all but combinations) and findings (with them), in order of insertion."""
-    return df.withColumn("base_findings", F.concat(*PARTS)).withColumn("findings", _findings())
+    base = F.concat(*PARTS)
+    if rules is not BUILT_IN:  # what shows a rule that is not in the tables does not count
+        base = F.filter(base, lambda f: among(f["rule_id"], rules.ids))
+    return df.withColumn("base_findings", base).withColumn("findings", _findings(rules))
 
 
 def band_of(score):
@@ -87,9 +91,9 @@ def _standing(key):
 
 
 @once
-def _recommendations():
+def _recommendations(rules):
     advice_of = constant("map({})".format(", ".join(
-        f"'{r.rule_id}', {sql_text(r.advice)}" for r in catalogue.ALL_RULES)))
+        f"'{r.rule_id}', {sql_text(r.advice)}" for r in rules.rules)))
     scoring = F.filter(ordered(F.col("findings")), lambda x: x["f"]["points"] > 0)
     own = F.transform(scoring, lambda x: _advice_item(
         F.lit(catalogue.FINDING_ADVICE_TAG), F.element_at(advice_of, x["f"]["rule_id"])))
@@ -111,6 +115,6 @@ def _recommendations():
     return F.slice(let(first_of_each(candidates, key), close), 1, catalogue.MAX_ADVICE)
 
 
-def with_recommendations(df):
+def with_recommendations(df, rules=BUILT_IN):
     """Adds recommendations: ordered advice, each once, at most eight."""
-    return df.withColumn("recommendations", _recommendations())
+    return df.withColumn("recommendations", _recommendations(rules))

@@ -2,26 +2,26 @@
 
 from pyspark.sql import functions as F
 
-from mailsift.data import catalogue
 from mailsift.functions.columns import MARK, STAND_IN, constant, once, sql_text
 from mailsift.functions.gates import gate
 from mailsift.functions.regex import SPACE, jvm
 from mailsift.operators.findings import BARE
+from mailsift.operators.rulebook import BUILT_IN
 
 MARGIN = 45
 MAX_SNIPPETS = 3
 
 
 @once
-def hit_columns():
+def hit_columns(rules):
     """One boolean per rule; any of its patterns fires it. Cheap word tests come first."""
     test = lambda p: f"({gate('lowered', p)} and body rlike {sql_text(jvm(p))})"
-    return {f"hit_{r.rule_id}": constant(" or ".join(map(test, r.patterns))) for r in catalogue.TEXT_RULES}
+    return {f"hit_{r.rule_id}": constant(" or ".join(map(test, r.patterns))) for r in rules.text_rules}
 
 
-def with_text_hits(df):
+def with_text_hits(df, rules=BUILT_IN):
     """Adds ``hit_<rule>`` per language rule."""
-    return df.withColumn("lowered", F.lower("body")).withColumns(hit_columns()).drop("lowered")
+    return df.withColumn("lowered", F.lower("body")).withColumns(hit_columns(rules)).drop("lowered")
 
 
 def _snippet(pattern):
@@ -50,18 +50,18 @@ def highlights_column():
         return (f"if(hit_{rule.rule_id}, transform({snippets_sql(rule)}, (s, i) -> named_struct('rule_id', "
                 f"'{rule.rule_id}', 'ord', i + 1, 'snippet', s.text, 'match', s.match, 'match_at', "
                 f"locate(lower(s.match), lower(s.text)) - 1)), array())")
-    return constant(f"flatten(array({', '.join(map(shown, catalogue.TEXT_RULES))}))")
+    return constant(f"flatten(array({', '.join(map(shown, BUILT_IN.text_rules))}))")
 
 
 @once
-def findings_column(evidence):
+def findings_column(evidence, rules):
     def found(rule):
         shown = f"transform({snippets_sql(rule)}, s -> s.text)" if evidence else "array()"
         return (f"if(hit_{rule.rule_id}, cast(named_struct('rule_id', '{rule.rule_id}', 'evidence', {shown}, "
                 f"'extra', null) as {BARE}), null)")
-    return constant(f"filter(array({', '.join(map(found, catalogue.TEXT_RULES))}), x -> x is not null)")
+    return constant(f"filter(array({', '.join(map(found, rules.text_rules))}), x -> x is not null)")
 
 
-def with_text_findings(df, evidence=True):
+def with_text_findings(df, evidence=True, rules=BUILT_IN):
     """Adds text_findings. Without evidence only the hits are read and the text is scanned once."""
-    return df.withColumn("text_findings", findings_column(evidence))
+    return df.withColumn("text_findings", findings_column(evidence, rules))

@@ -1,18 +1,44 @@
-"""The catalogue as small tables. All have a fixed number of rows (at most 86), so broadcasting them is safe."""
+"""The catalogue as small tables. All have a fixed number of rows (below 200), so broadcasting them is safe."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from mailsift.data import catalogue, lists
 from mailsift.operators.attachments import ext_group
 
 
 def rule(spark):
-    """59 rules with their place in the registry (points descending, then title)."""
-    ranked = sorted(catalogue.ALL_RULES, key=lambda r: (-r.points, r.title))
-    place = {r.rule_id: i for i, r in enumerate(ranked, 1)}
+    """The rules with their place in the registry."""
+    return ranked(rule_table(spark))
+
+
+def ranked(rules):
+    """Rules with registry_source and registry_rank: points descending, then title in the order of the root
+    collation, which knows no code points. One window over a catalogue, whose size ``RuleBook`` bounds."""
+    sources = F.create_map(*[F.lit(x) for pair in catalogue.REGISTRY_SOURCE.items() for x in pair])
+    order = Window.orderBy(F.desc("points"), F.collate("title", "UNICODE"), "rule_id")
+    return rules.withColumn("registry_source", sources[F.col("source")]).withColumn(
+        "registry_rank", F.row_number().over(order))
+
+
+def rule_table(spark):
+    """The catalogue as the first of the tables that rules can be read from."""
     return spark.createDataFrame(
-        [(r.rule_id, r.source, catalogue.REGISTRY_SOURCE[r.source], r.category, r.severity, r.points, r.title,
-          r.why, r.advice, place[r.rule_id]) for r in catalogue.ALL_RULES],
-        "rule_id string, source string, registry_source string, category string, severity string, points int, "
-        "title string, why string, advice string, registry_rank int")
+        [(i, r.rule_id, r.source, r.category, r.severity, r.points, r.title, r.why, r.advice)
+         for i, r in enumerate(catalogue.ALL_RULES, 1)],
+        "place int, rule_id string, source string, category string, severity string, points int, title string, "
+        "why string, advice string")
+
+
+def rule_pattern(spark):
+    return spark.createDataFrame([(r.rule_id, i, p) for r in catalogue.ALL_RULES for i, p in enumerate(r.patterns, 1)],
+                                 "rule_id string, ord int, pattern string")
+
+
+def rule_combo(spark):
+    return spark.createDataFrame([(combo, c, i, member) for combo, clauses in catalogue.COMBO_CLAUSES.items()
+                                  for c, members in enumerate(clauses, 1) for i, member in enumerate(members, 1)],
+                                 "rule_id string, clause int, ord int, member string")
 
 
 def band(spark):

@@ -8,6 +8,7 @@ from mailsift.data import lists
 from mailsift.functions import domains
 from mailsift.functions.columns import constant, runs, text_list
 from mailsift.operators import attachments, findings, headers, html, messages, scoring, text_rules, urls
+from mailsift.operators.rulebook import RuleBook
 from mailsift.plans import corpus, dims, reports, tables
 from mailsift.plans.analysis import VERDICT, analyse, verdict
 from mailsift.plans.tables import each, file_table, finding_table, url_table
@@ -432,6 +433,35 @@ def report_text(spark, d):
     return reports.report_text(_analysed(spark, d, evidence=True))
 
 
+# Rows that a user adds to the tables of rules: one rule over the text, one combination, one rule with other points.
+ADDED_RULES = [
+    (70, "note_reference", "body", "Money and payments", "medium", 7, "Names a numbered note",
+     "Notes with numbers were used by one campaign.", "Ask the sender what the note is about."),
+    (71, "combo_note_link", "combination", "Combination of findings", "high", 5, "Numbered note and a plain link",
+     "Both together make up the campaign.", "Do not open the link."),
+    (8, "urgency_pressure", "body", "Pressure tactics", "medium", 3, "Urgency and pressure language",
+     "Deadlines are used to stop a reader from checking; honest reminders use them too.", "Take your time."),
+]
+ADDED_PATTERNS = [("note_reference", 1, r"\bnote\s+\d{2,}\b"), ("note_reference", 2, r"\bRef \d+[^.!?\n]{0,20}\bexample\b")]
+ADDED_COMBOS = [("combo_note_link", 1, 1, "note_reference"), ("combo_note_link", 2, 1, "no_https"),
+                ("combo_note_link", 2, 2, "reply_to_mismatch"), ("combo_note_link", 2, 3, "risky_tld")]
+
+
+@query
+def custom_rules(spark, d):
+    """Verdicts by the built-in tables with rows added, and one rule replaced."""
+    rows = lambda values, table: spark.createDataFrame(values, table.schema)
+    rule, pattern, combo = dims.rule_table(spark), dims.rule_pattern(spark), dims.rule_combo(spark)
+    added = rows(ADDED_RULES, rule)
+    book = RuleBook.from_tables(rule.join(added, "rule_id", "left_anti").unionByName(added),
+                                pattern.union(rows(ADDED_PATTERNS, pattern)), combo.union(rows(ADDED_COMBOS, combo)))
+    new = F.array_sort(F.filter(F.transform("findings", lambda f: f["rule_id"]),
+                                lambda i: i.isin("note_reference", "combo_note_link")))
+    return analyse(mail.messages(spark, d), evidence=False, rules=book).select(
+        "msg_id", "raw_score", "score", "band", F.size("findings").cast("bigint").alias("n_findings"),
+        F.array_join(new, ",").alias("added"))
+
+
 # ---- dimensions met with the data -----------------------------------------------------
 
 @query

@@ -12,7 +12,7 @@ from mailsift.data import catalogue as cat
 from mailsift.data import lists
 from mailsift.functions.domains import typosquat_targets
 from mailsift.operators.attachments import GROUP_RULES, ext_group
-from mailsift.plans.queries import PART_RULES
+from mailsift.plans.queries import ADDED_COMBOS, ADDED_PATTERNS, ADDED_RULES, PART_RULES
 from mailsift.sources.mail import GOLDEN_EXPECTED, GOLDEN_IDS, HOSTS, TEMPLATES
 
 WS = r"\t\n\v\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
@@ -353,10 +353,10 @@ cte("snippet_all", " UNION ALL ".join(
 cte("snippet", "SELECT msg_id, rule_id, snippet, hit, row_number() OVER (PARTITION BY msg_id, rule_id ORDER BY p) AS ord FROM snippet_all QUALIFY ord <= 3", True)
 
 # ---- findings -------------------------------------------------------------------------------
-cte("rule", "SELECT * FROM " + values([(r.rule_id, r.source, cat.REGISTRY_SOURCE[r.source], r.category, r.severity, r.points, r.title, r.advice, n,
+cte("rule", "SELECT *, row_number() OVER (ORDER BY points DESC, title COLLATE en) AS registry_rank FROM " + values([(r.rule_id, r.source, cat.REGISTRY_SOURCE[r.source], r.category, r.severity, r.points, r.title, r.advice, n,
                                        lists.SEVERITIES[r.severity][0], lists.SEVERITIES[r.severity][1])
-    for n, r in enumerate(sorted(cat.ALL_RULES, key=lambda r: (-r.points, r.title)), 1)])
-    + " t(rule_id, source, registry_source, category, severity, points, title, advice, registry_rank, rank_actual, rank_documented)")
+    for n, r in enumerate(cat.ALL_RULES, 1)])
+    + " t(rule_id, source, registry_source, category, severity, points, title, advice, place, rank_actual, rank_documented)")
 cte("base", """SELECT msg_id, rule_id, 1 AS so, o1 FROM text_hit UNION ALL SELECT msg_id, rule_id, 2, o1 FROM url_finding
     UNION ALL SELECT msg_id, rule_id, 3, o1 FROM file_finding UNION ALL SELECT msg_id, rule_id, 4, o1 FROM html_finding
     UNION ALL SELECT msg_id, rule_id, 5, o1 FROM header_finding""", True)
@@ -393,6 +393,17 @@ cte("advice", """SELECT msg_id, tag, text, row_number() OVER (PARTITION BY msg_i
 cte("prevalence", "SELECT rule_id, count(*) AS messages, CAST(sum(points) AS BIGINT) AS points_given FROM finding GROUP BY rule_id")
 cte("mail_score", "SELECT m.msg_id, ts, raw_score, score, band, coalesce(from_registrable, '') AS sender_domain FROM mails m JOIN score USING (msg_id) LEFT JOIN sender USING (msg_id)")
 
+NEW = {r[1]: r for r in ADDED_RULES}
+cte("own_rule", f"""SELECT rule_id, points, false AS is_new FROM rule WHERE NOT {among('rule_id', NEW)}
+    UNION ALL SELECT * FROM {values([(i, r[5], i not in cat.RULE_BY_ID) for i, r in NEW.items()])} t(rule_id, points, is_new)""")
+cte("own_base", "SELECT msg_id, rule_id FROM base UNION ALL " + " UNION ALL ".join(
+    f"SELECT msg_id, {q(rule)} FROM body WHERE " + " OR ".join(f"regexp_matches(body, {rx(p)})" for r, _, p in ADDED_PATTERNS if r == rule)
+    for rule in dict.fromkeys(r for r, _, _ in ADDED_PATTERNS)))
+cte("own_combo", f"""SELECT msg_id, combo FROM own_base JOIN {values([(c, k, m) for c, k, _, m in ADDED_COMBOS])} c(combo, clause, rule_id)
+    USING (rule_id) GROUP BY msg_id, combo HAVING count(DISTINCT clause) = 2""")
+cte("own_all", """SELECT msg_id, rule_id, points, is_new FROM (SELECT * FROM own_base UNION ALL SELECT msg_id, rule_id FROM combo
+    UNION ALL SELECT * FROM own_combo) JOIN own_rule USING (rule_id)""")
+
 LOOKUP = [(n, v) for n, vs in (("multi_part_suffix", lists.MULTI_PART_SUFFIXES), ("risky_tld", lists.RISKY_TLDS),
                                ("shortener", lists.SHORTENERS), ("free_mail", lists.FREE_MAIL_DOMAINS),
                                ("host_stopword", lists.HOST_STOPWORDS), ("severity", lists.SEVERITIES),
@@ -512,6 +523,10 @@ FINAL = {
     "sender_session": """SELECT sender_domain, min(ts) AS session_start, max(ts) AS session_end, count(*) AS mails, count(*) FILTER (band = 'high') AS high FROM
         (SELECT *, sum(starts) OVER (PARTITION BY sender_domain ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER
         (PARTITION BY sender_domain ORDER BY ts) <= INTERVAL 7 DAY THEN 0 ELSE 1 END AS starts FROM mail_score)) GROUP BY sender_domain, session""",
+    "custom_rules": f"""SELECT msg_id, raw_score, least(raw_score, 100) AS score, band, n_findings, coalesce(added, '') AS added FROM
+        (SELECT msg_id, CAST(coalesce(sum(points), 0) AS BIGINT) AS raw_score, count(rule_id) AS n_findings,
+         string_agg(CASE WHEN is_new THEN rule_id END, ',' ORDER BY rule_id) AS added FROM prep LEFT JOIN own_all USING (msg_id) GROUP BY msg_id)
+        JOIN {values(cat.BANDS)} b(band, lo, hi, label, blurb) ON least(raw_score, 100) BETWEEN lo AND hi""",
     "stream_session": """SELECT sender_domain, min(ts) AS session_start, max(ts) AS session_end, count(*) AS mails, count(*) FILTER (band = 'high') AS high FROM
         (SELECT *, sum(starts) OVER (PARTITION BY sender_domain ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER
         (PARTITION BY sender_domain ORDER BY ts) <= INTERVAL 7 DAY THEN 0 ELSE 1 END AS starts FROM mail_score)) GROUP BY sender_domain, session

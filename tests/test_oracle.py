@@ -13,7 +13,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 # The full set is compared by the driver; these cover each part of the pipeline once.
 CHECKED = ["header_kv", "url_flags", "findings_union", "verdict", "recommendations", "duplicate_collapse",
            "stream_dedupe", "sender_session", "stream_session", "stream_domain_leaderboard", "band_lookup", "band_distribution", "golden_check", "remote_hosts", "header_gate",
-           "text_evidence", "lookup_dims", "host_profile", "typosquat", "brand_lookalike", "report_fields"]
+           "text_evidence", "lookup_dims", "custom_rules", "rule_registry", "host_profile", "typosquat", "brand_lookalike", "report_fields"]
 
 
 def plain(v):
