@@ -10,17 +10,30 @@ from mailsift.plans.tables import each
 from mailsift.sources.shared import cut_lineage
 
 
-def band_distribution(spark, analysed):
-    """Messages per band, empty bands included."""
+# A report is made in two steps: totals that add up over any parts of the messages, and what is read off
+# them. ``plans.maintained`` stores the totals of each part.
+
+def band_totals(analysed):
+    """(band, messages, total): messages and added scores."""
+    return analysed.groupBy("band").agg(F.count("*").alias("messages"), F.sum("score").alias("total"))
+
+
+def band_shares(totals):
+    """Messages per band, empty bands included, from rows of ``band_totals``."""
     bands = [b[0] for b in catalogue.BANDS]
-    totals = analysed.select("band", "score").agg(F.count("*").alias("all"), *[c for b in bands for c in (
-        F.count_if(F.col("band") == b).alias(f"n_{b}"), F.sum(F.when(F.col("band") == b, F.col("score"))).alias(f"t_{b}"))])
+    of = lambda b, c: F.sum(F.when(F.col("band") == b, F.col(c)))
+    row = totals.agg(F.sum("messages").alias("all"), *[c for b in bands for c in (
+        F.coalesce(of(b, "messages"), F.lit(0)).alias(f"n_{b}"), of(b, "total").alias(f"t_{b}"))])
     ratio = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
-    return totals.select(F.explode(F.array(*[F.struct(
+    return row.select(F.explode(F.array(*[F.struct(
         F.lit(b).alias("band"), F.col(f"n_{b}").alias("messages"), ratio(F.col(f"n_{b}"), F.col("all")).alias("share"),
         ratio(F.col(f"t_{b}"), F.col(f"n_{b}")).alias("avg_score")) for b in bands])).alias("x")).select("x.*")
 
 
+def band_distribution(spark, analysed):
+    return band_shares(band_totals(analysed.select("band", "score")))
+
+
 def rule_hits(analysed):
     """(rule_id, messages, points_given): a rule fires at most once per message, so no distinct is needed."""
     found = each(analysed, F.transform("findings", lambda f: F.struct(
@@ -30,8 +43,12 @@ def rule_hits(analysed):
 
 
 def rule_prevalence(spark, analysed):
+    return registry_with(spark, rule_hits(analysed))
+
+
+def registry_with(spark, hits):
     """Every rule of the registry with the messages it fired on, never-fired ones included."""
-    joined = dims.rule(spark).join(rule_hits(analysed), "rule_id", "left")
+    joined = dims.rule(spark).join(hits, "rule_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
     return joined.select("rule_id", "registry_source", "title", "severity",
                          F.col("points").cast("bigint").alias("points"),
@@ -49,14 +66,22 @@ def rule_coverage(spark, analysed):
                     F.coalesce("messages", F.lit(0).cast("bigint")).alias("messages")))
 
 
+def rule_sets(analysed):
+    """(rules, n): messages per set of rules."""
+    ids = F.array_sort(F.transform("findings", lambda f: f["rule_id"]))
+    return analysed.groupBy(ids.alias("rules")).agg(F.count("*").alias("n"))
+
+
 def rule_cooccurrence(analysed):
+    return rule_pairs(rule_sets(analysed))
+
+
+def rule_pairs(sets):
     """Pairs of rules on the same message with their lift.
 
     Messages with the same set of rules are counted first; pairs are then made
     once per distinct set, not per message. A set has at most 59 rules.
     """
-    ids = F.array_sort(F.transform("findings", lambda f: f["rule_id"]))
-    sets = analysed.groupBy(ids.alias("rules")).agg(F.count("*").alias("n"))
     single = each(sets, F.concat("rules", F.array(F.lit("*"))), "n").groupBy(F.col("x").alias("rule")).agg(
         F.sum("n").alias("n"))
     pairs = F.flatten(F.transform("rules", lambda a, i: F.transform(
@@ -69,23 +94,38 @@ def rule_cooccurrence(analysed):
             .join(F.broadcast(b), "rule_b").join(F.broadcast(whole), "rule_all").select("rule_a", "rule_b", "messages", F.round(lift, 6).alias("lift")))
 
 
-def domain_leaderboard(df, k=20):
-    """Registrable domains by messages, with scored flags and the worst tone; needs links."""
+def domain_totals(df):
+    """(registrable, messages, flags, tone): messages, scored flags and worst tone per domain; needs links."""
     flagged = F.zip_with("links", is_first(F.col("links"), lambda d: d["registrable"]), lambda d, first: F.struct(
         d["registrable"].alias("registrable"), first.cast("bigint").alias("messages"),
         F.size(F.filter(d["flags"], lambda f: f["tone"] != "ok")).alias("flags"),
         F.when(F.exists(d["flags"], lambda f: f["tone"] == "bad"), 2)
         .when(F.exists(d["flags"], lambda f: f["tone"] == "warn"), 1).otherwise(0).alias("tone")))
     named = each(df, flagged, "msg_id").select("x.*")
-    totals = named.groupBy("registrable").agg(
+    return added_domains(named)
+
+
+def added_domains(rows):
+    return rows.groupBy("registrable").agg(
         F.sum("messages").alias("messages"), F.sum("flags").cast("bigint").alias("flags"), F.max("tone").alias("tone"))
+
+
+def domain_leaderboard(df, k=20):
+    return top_domains(domain_totals(df), k)
+
+
+def top_domains(totals, k=20):
+    """The domains of most messages."""
     return (totals.orderBy(F.desc("messages"), "registrable").limit(k)
             .select("registrable", "messages", "flags",
                     F.element_at(constant("array('ok', 'warn', 'bad')"), F.col("tone") + 1).alias("worst_tone")))
 
 
-def sender_profile(analysed):
-    """Per From domain: mails, results of the three checks, scores."""
+CHECKS = [f"{c}_{r}" for c in ("spf", "dkim", "dmarc") for r in ("pass", "fail")]
+
+
+def sender_totals(analysed):
+    """(sender_domain, messages, results of the three checks, high, total) per From domain."""
     s = lambda f: F.col("sender")[f]
     mails = analysed.select(s("from_registrable").alias("sender_domain"), s("spf").alias("spf"),
                             s("dkim").alias("dkim"), s("dmarc").alias("dmarc"), "score", "band", "headers_found")
@@ -94,9 +134,16 @@ def sender_profile(analysed):
     grouped = mails.groupBy("headers_found", "sender_domain").agg(
         F.count("*").alias("messages"), *[m(c) for c in ("spf", "dkim", "dmarc") for m in (passed, failed)],
         F.count_if(F.col("band") == "high").alias("high"), F.sum("score").alias("total"))
-    return grouped.filter("headers_found").select(
-        "sender_domain", "messages", *[f"{c}_{r}" for c in ("spf", "dkim", "dmarc") for r in ("pass", "fail")],
-        "high", F.round(F.col("total") / F.col("messages"), 6).alias("avg_score"))
+    return grouped.filter("headers_found").select("sender_domain", "messages", *CHECKS, "high", "total")
+
+
+def sender_profile(analysed):
+    return sender_shares(sender_totals(analysed))
+
+
+def sender_shares(totals):
+    """Per From domain: mails, results of the three checks, mean score."""
+    return totals.select("sender_domain", "messages", *CHECKS, "high", F.round(F.col("total") / F.col("messages"), 6).alias("avg_score"))
 
 
 def golden_check(spark, analysed, expectation):

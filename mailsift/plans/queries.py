@@ -9,10 +9,11 @@ from mailsift.functions import domains
 from mailsift.functions.columns import constant, runs, text_list
 from mailsift.operators import attachments, findings, headers, html, messages, scoring, text_rules, urls
 from mailsift.operators.rulebook import RuleBook
-from mailsift.plans import corpus, dims, reports, tables
+from mailsift.plans import corpus, dims, maintained, reports, tables
 from mailsift.plans.analysis import VERDICT, analyse, verdict
 from mailsift.plans.tables import each, file_table, finding_table, url_table
-from mailsift.sources import mail
+from mailsift.sources import files, mail
+from mailsift.sources.shared import work_folder
 from mailsift.streaming import jobs
 
 QUERIES = {}
@@ -423,6 +424,14 @@ def report_fields(spark, d):
     return reports.report_fields(reports.report_json(_analysed(spark, d, evidence=True)))
 
 
+@query
+def report_export(spark, d):
+    """Reports written by band, and those of the high band read back."""
+    folder = work_folder(spark)
+    files.write_reports(reports.report_json(_analysed(spark, d, evidence=True)), folder)
+    return reports.report_fields(files.read_reports(spark, folder).filter("band = 'high'"))
+
+
 @query
 def report_json(spark, d):
     return reports.report_json(_analysed(spark, d, evidence=True))
@@ -530,6 +539,17 @@ def domain_leaderboard(spark, d):
     return corpus.domain_leaderboard(_links(spark, d))
 
 
+@query
+def maintained_reports(spark, d):
+    """Five reports from stored totals of four parts; one part is stored twice, the first time with other rows."""
+    folder, corpus_ = work_folder(spark), mail.messages(spark, d)
+    part = lambda name: analyse(corpus_.filter(F.col("source") == name), evidence=False)
+    maintained.store(part("pages"), folder, "conversations")
+    for name in ("orders", "documents", "pages", "conversations"):
+        maintained.store(part(name), folder, name)
+    return maintained.all_reports(spark, folder)
+
+
 @query
 def sender_profile(spark, d):
     return corpus.sender_profile(_analysed(spark, d))

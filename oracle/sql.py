@@ -534,6 +534,11 @@ FINAL = {
     "stream_domain_leaderboard": """SELECT registrable AS domain, count(DISTINCT msg_id) AS messages FROM url JOIN host USING (host) JOIN mails USING (msg_id)
         GROUP BY registrable ORDER BY messages DESC, registrable LIMIT 20""",
 }
+FINAL["report_export"] = FINAL["report_fields"] + " WHERE band = 'high'"
+FINAL["maintained_reports"] = " UNION ALL ".join(f"SELECT '{report}' AS report, {name} AS name, CAST(messages AS BIGINT) AS messages, CAST({value} AS DOUBLE) AS value FROM ({FINAL[of]})"
+    for report, name, value, of in (("band", "band", "avg_score", "band_distribution"), ("rule", "rule_id", "points_given", "rule_prevalence"),
+                                    ("pair", "rule_a || '+' || rule_b", "lift", "rule_cooccurrence"), ("domain", "registrable", "flags", "domain_leaderboard"),
+                                    ("sender", "sender_domain", "avg_score", "sender_profile")))
 cte("page_link", "SELECT page_id AS msg_id, url AS raw FROM pages")
 parsed("page_url", "page_link", "raw")
 
