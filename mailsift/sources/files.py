@@ -6,7 +6,7 @@ TASK_BYTES, SMALL_BYTES = 256 * 1024, 1 << 30
 
 
 def read_eml(spark, path, glob="*.eml"):
-    """One message per file; the id is a hash of the path."""
+    """One message per file that is not empty; the id is a hash of the path."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
     return files.select(F.xxhash64(F.col("_metadata.file_path")).alias("msg_id"), F.col("value").alias("raw"))
 

@@ -78,7 +78,8 @@ def test_a_stream_of_message_files(spark, tmp_path):
         return jobs.append_available(scored, str(tmp_path / "work"))
 
     drop("a.eml", "Subject: x\r\nFrom: a@b.com\r\n\r\nA penalty applies.\n\nOr else.")
-    drop("empty.eml", "")
+    drop("empty.eml", "")  # a file without a byte gives no row
+    drop("blank.eml", "\n")
     drop("note.txt", "A penalty applies.")
     assert sorted(r.score for r in run().collect()) == [0, 9]
     drop("c.eml", "see http://bit.ly/x ünï")
