@@ -6,6 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from mailsift.sources.shared import work_folder
 
 ROWS = 1000
 
@@ -52,6 +53,13 @@ def add_columns(df, added, make, most=None):
     return df.mapInArrow(run, StructType(kept + added.fields))
 
 
+def written(df):
+    """The rows of a result as a table in the shared folder; compressed, unlike a checkpoint."""
+    folder = work_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def column(batch, name):
     return batch.column(batch.schema.get_field_index(name))
 
