@@ -20,6 +20,16 @@ def whole_texts(docs, key="doc_id", text="text"):
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def aside(docs, used):
+    """``docs`` with all columns but those in ``used`` under numbered names, and what gives them their names back.
+
+    So no name that an operator uses within can meet one of the user's.
+    """
+    named = {f"aside{i}": c for i, c in enumerate(docs.columns) if c not in used}
+    moved = docs.toDF(*[c if c in used else f"aside{i}" for i, c in enumerate(docs.columns)])
+    return moved, lambda df: df.toDF(*[named.get(c, c) for c in df.columns])
+
+
 def small(batch, most):
     """A batch in parts of at most ``most`` bytes, or one row where that is larger."""
     if most is None or batch.num_rows < 2 or batch.nbytes <= most:

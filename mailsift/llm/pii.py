@@ -16,13 +16,14 @@ different texts (base spans taken out; fewer are met by chance), and with a sing
 ``entity_texts``, else it would just identify copies of one text.
 
 Plan: base spans need no shuffle, they are array expressions within the row. Term counts are hashed
-and aggregated before the shuffle, so frequent words are no hot keys. Only documents with base spans, or
-with a term that passes a filter of fixed size made from the terms that reveal a single value, are joined
-with their own terms; all others pass in the map. Nothing is broadcast by hint.
+and aggregated before the shuffle, so frequent words are no hot keys. Values that stand in one text only
+can have no terms of their own, so their documents' terms are not counted against them. Only documents with
+a term that passes a filter of fixed size, made from the terms that reveal, are joined with those terms; all
+others pass in the map. Nothing is broadcast by hint.
 
 Defined cases: a null or empty text has no spans; repeated rows and null ids are handled row by row
-(a null id gets base spans only); an empty table gives none; other columns stay as they are, but for
-those that the operator adds.
+(a null id gets base spans only); an empty table gives none; other columns stay as they are, whatever
+their names, but for those named ``base``, ``spans`` and ``sanitised``, which are replaced.
 """
 
 from functools import reduce
@@ -30,6 +31,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from mailsift.functions.columns import let, offsets, running
+from mailsift.llm.arrow import aside
 from mailsift.sources.shared import cut_lineage
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -42,7 +44,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 SPAN = "struct<start:int,rank:int,end:int,kind:string,text:string>"
 TERM = r"\p{L}"
-MARKS = 1 << 21  # bits of the filter for terms that reveal a single entity
+BITS = 7  # in a byte of a filter, so that every byte is a character
+MARKS = BITS << 18  # bits of a filter of hashes
 
 
 def digits(text):
@@ -107,16 +110,21 @@ def revealing_terms(marked, generalise=0.8, remove=0.95, texts=5, entity_texts=2
     ``marked`` has ``text`` and its ``base`` spans. ``entity`` is a hash of kind and value; null for a whole kind.
     """
     rows = marked.select(F.coalesce("text", F.lit("")).alias("text"), "base")
-    totals = rows.agg(F.count("*").alias("documents"), *[
-        F.count_if(F.exists("base", of_kind(k))).alias(k) for k in KINDS]).first()
-    n = F.lit(totals["documents"]).cast("double")
     clean = F.when(F.size("base") > 0, without_base(F.col("text"))).otherwise(F.col("text"))
     everywhere = rows.select(F.explode(terms(clean)).alias("term")).groupBy(
         F.xxhash64("term").alias("hash")).agg(F.count("*").alias("n_term"))
     holding = rows.filter(F.size("base") > 0).select(without_base(F.col("text")).alias("text"), protected().alias("about"))
-    n_about = holding.select(F.explode("about").alias("a")).filter("a.entity is not null").groupBy(
-        F.col("a.entity").alias("key")).agg(F.count("*").alias("n_value"))
-    met = holding.select(F.xxhash64("text").alias("of"), terms(F.col("text")).alias("terms"), F.explode("about").alias("a"))
+    met = holding.select(F.xxhash64("text").alias("of"), F.explode("about").alias("a"))
+    about = cut_lineage(met.groupBy("a.kind", "a.entity").agg(
+        F.count("*").alias("n_value"), F.count_distinct("of").alias("n_of")).filter(
+        F.col("entity").isNull() | (F.col("n_of") >= entity_texts)))
+    totals = {r.kind: r.n_value for r in about.filter("entity is null").collect()}
+    documents = rows.count()
+    n = F.lit(documents).cast("double")
+    n_about = about.filter("entity is not null").select(F.col("entity").alias("key"), "n_value")
+    several = marks(n_about.select(F.col("key").alias("hash")))
+    met = holding.select(F.xxhash64("text").alias("of"), terms(F.col("text")).alias("terms"), F.explode("about").alias("a")).filter(
+        F.col("a.entity").isNull() | several(F.col("a.entity")))
     together = met.select("of", "a.kind", "a.entity", F.explode("terms").alias("term")).groupBy(
         "kind", "entity", "term", "of").agg(F.count("*").alias("n")).groupBy("kind", "entity", "term").agg(
         F.sum("n").alias("n_both"), F.count("*").alias("n_texts")).filter(
@@ -124,7 +132,7 @@ def revealing_terms(marked, generalise=0.8, remove=0.95, texts=5, entity_texts=2
     hashed = F.xxhash64("term")
     candidates = together.withColumns({"hash": hashed, "key": F.coalesce("entity", hashed)}).join(n_about, "key", "left")
     n_entity = F.when(F.col("entity").isNull(), F.coalesce(*[
-        F.when(F.col("kind") == k, F.lit(totals[k])) for k in KINDS])).otherwise(F.col("n_value")).cast("double")
+        F.when(F.col("kind") == k, F.lit(totals.get(k, 0))) for k in KINDS])).otherwise(F.col("n_value")).cast("double")
     pmi = F.log(F.col("n_both") * n / (n_entity * F.col("n_term")))
     scored = candidates.join(everywhere, "hash").withColumn("disclosure", F.when(n_entity < n, pmi / F.log(n / n_entity)))
     return scored.filter(F.col("disclosure") >= generalise).select(
@@ -140,31 +148,40 @@ def protected():
 
 
 def marks(hashes):
-    """A filter of fixed size for term hashes: a column test that no hash of ``hashes`` fails."""
+    """A filter of fixed size for hashes: a column test that no hash of ``hashes`` fails."""
     places = lambda h: [F.pmod(x, F.lit(MARKS)).cast("int") for x in (h, F.shiftright(h, 24))]
-    marked = bytearray(MARKS // 8)
+    marked = bytearray(MARKS // BITS)
     for r in hashes.select(F.explode(F.array(*places(F.col("hash")))).alias("at")).distinct().toLocalIterator():
-        marked[r["at"] // 8] |= 1 << r["at"] % 8
-    byte = lambda at: F.conv(F.hex(F.substring(F.lit(bytes(marked)), F.shiftright(at, 3) + 1, 1)), 16, 10).cast("int")
-    bit = lambda at: byte(at).bitwiseAND(F.call_function("shiftleft", F.lit(1), at.bitwiseAND(7))) != 0
+        marked[r["at"] // BITS] |= 1 << r["at"] % BITS
+    known = F.lit(bytes(marked))
+
+    def bit(at):
+        byte = F.ascii(F.substring(known, F.floor(at / BITS).cast("int") + 1, 1).cast("string"))
+        return F.getbit(byte.cast("long"), F.pmod(at, F.lit(BITS))) == 1
+
     return lambda h: reduce(lambda a, b: a & b, map(bit, places(h)))
 
 
 def sanitise(docs, generalise=0.8, remove=0.95, texts=5, entity_texts=2):
     """``docs`` with ``base`` (base spans), ``spans`` (all spans) and ``sanitised`` (the text with its spans replaced)."""
     docs = docs.drop("base", "spans", "sanitised")
+    docs, back = aside(docs, ("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
     marked = docs.withColumn("base", base_spans(text))
     revealing = cut_lineage(revealing_terms(marked, generalise, remove, texts, entity_texts))
-    naming = marks(revealing.filter("entity is not null").select(F.xxhash64("term").alias("hash")))
+    # a term that reveals a kind counts where such data stand, one that reveals a value counts everywhere
+    named = marks(revealing.select(F.when(F.col("entity").isNull(), F.xxhash64("term", F.lit("kind"))).otherwise(
+        F.xxhash64("term")).alias("hash")))
     holds = F.size("base") > 0
-    named = F.filter(terms(text), lambda t: naming(F.xxhash64(t)))
-    names = F.size(named) > 0
-    clear = marked.filter(~holds & ~names).withColumn("spans", F.col("base")).withColumn("sanitised", F.col("text"))
-    others = marked.filter(holds | names).withColumn("text_hash", F.xxhash64("text"))
-    own = others.select(
-        "doc_id", "text_hash", F.explode(F.when(holds, terms(without_base(text))).otherwise(named)).alias("term"),
-        F.array_distinct(F.transform("base", lambda s: s["kind"])).alias("kinds"))
+    clean = lambda h: F.when(h, without_base(text)).otherwise(text)
+    passes = lambda t, h: named(F.xxhash64(t)) | (h & named(F.xxhash64(t, F.lit("kind"))))
+    tested = marked.withColumn("names", let(holds, lambda h: F.exists(terms(clean(h)), lambda t: passes(t, h))))
+    clear = tested.filter("not names").withColumn("spans", F.col("base")).withColumn(
+        "sanitised", F.when(holds, replaced(text, F.col("base"))).otherwise(F.col("text"))).drop("names")
+    others = tested.filter("names").drop("names").withColumn("text_hash", F.xxhash64("text"))
+    own = marked.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", F.explode(terms(clean(holds))).alias("term")).filter(
+        passes(F.col("term"), holds)).select("doc_id", "text_hash", "term", F.array_distinct(F.transform(
+            "base", lambda s: s["kind"])).alias("kinds"))
     reveals = own.join(revealing, "term").filter(
         F.col("entity").isNotNull() | F.array_contains("kinds", F.col("kind"))).groupBy("doc_id", "text_hash", "term").agg(
         F.max("action").alias("action")).groupBy("doc_id", "text_hash").agg(
@@ -183,7 +200,7 @@ def sanitise(docs, generalise=0.8, remove=0.95, texts=5, entity_texts=2):
         F.col("reveals").isNotNull(), extra).otherwise(F.expr(NONE)))))
     joined = joined.withColumn("sanitised", F.when(F.size("spans") > 0, replaced(text, F.col("spans"))).otherwise(
         F.col("text"))).drop("reveals")
-    return clear.unionByName(joined)
+    return back(clear.unionByName(joined))
 
 
 def replaced(text, spans):
