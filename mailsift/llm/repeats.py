@@ -17,7 +17,7 @@ Hashes have 64 bits; windows with equal hashes are taken for equal.
 Defined cases: a null or empty text has no words and stays as it is; so does a document without an
 id, or with fewer words than a window. Rows of one id are one document and do not repeat each other.
 Texts from which nothing is removed keep their white space; else the kept words are joined by one
-space. All columns of the table are kept; those named ``n_words``, ``n_removed`` and ``packed_text``
+space. All columns of the table are kept, whatever their names; those named ``n_words`` and ``n_removed``
 are replaced.
 """
 
@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from mailsift.llm.arrow import add_columns, as_bytes, column, mix, window_hashes, word_hashes
+from mailsift.llm.arrow import add_columns, as_bytes, aside, column, mix, window_hashes, word_hashes
 
 #: Perfect difference sets by period.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -153,8 +153,7 @@ def repeated_windows(packed, window):
 
 def remove_repeats(docs, window=13):
     """``docs`` (``doc_id``, ``text``, ...) with ``text`` cut, and ``n_words``, ``n_removed`` of every document."""
-    columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "packed_text")]
-    docs = docs.select(*columns)
+    docs, back = aside(docs.drop("n_words", "n_removed"), ("doc_id", "text"))
     found = shared_anchors(docs, window).groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
 
     def pack():
@@ -191,5 +190,5 @@ def remove_repeats(docs, window=13):
         return run
 
     joined = packed.join(repeated, "doc_id", "left")
-    return add_columns(joined, "text string, n_words long, n_removed long", cut).select(
-        *columns, "n_words", "n_removed")
+    return back(add_columns(joined, "text string, n_words long, n_removed long", cut).select(
+        *docs.columns, "n_words", "n_removed"))

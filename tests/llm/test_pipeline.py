@@ -64,3 +64,38 @@ def test_run_equals_the_stages(spark, steps):
     place = ["doc_id", "piece", "start", "length", "ids_crc32"]
     got = corpus_pipeline.run(spark, SF)
     assert sorted(map(tuple, got.select(place).collect())) == sorted(map(tuple, steps[5].select(place).collect()))
+
+
+TAKEN = ["keep", "Score", "n_words", "threshold", "perplexity", "log_likelihood", "packed_text", "repeated_windows", "anchors",
+         "hash", "known", "text_hash", "reveals", "base", "spans", "sanitised", "names", "term", "kept", "component_id", "aside0",
+         "a.b"]
+COPIED, OWN = (" ".join(f"{w}{i}" for i in range(60)) for w in ("copied", "own"))
+ODD = [(1_000_001, " ".join(f"w{i}" for i in range(150_000)) + " write to me@x.org"), (1_000_002, COPIED), (1_000_002, COPIED),
+       (None, COPIED), (1_000_003, None), (1_000_004, ""), (1_000_005, COPIED + " "), (1_000_006, f"{OWN} {COPIED}")]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
+def test_stages_keep_odd_rows_and_all_columns(spark, name, stage):
+    rows = [(doc, text, None, None, None if text is None else len(text), *(f"{c} {i}" for c in TAKEN))
+            for i, (doc, text) in enumerate(ODD)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(
+        f"`{c}` string" for c in TAKEN))
+    out = stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = {int(r[-1].split()[1]): tuple(r) for r in out.collect()}
+    for i, r in got.items():
+        assert r[5:] == rows[i][5:] and r[0] == rows[i][0] and r[4] == (None if r[1] is None else len(r[1]))
+    changed = {i: r[1] for i, r in got.items() if r[1] != ODD[i][1]}
+    assert set(got) == set(range(len(ODD))) - ({6} if name == "MinHash near-dedup" else set())
+    if name == "PII":
+        assert set(changed) == {0} and changed[0] == ODD[0][1].replace("me@x.org", "[EMAIL]")
+    elif name == "substring dedup":
+        assert changed == {6: "", 7: OWN}
+    else:
+        assert not changed
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
