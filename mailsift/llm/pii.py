@@ -45,7 +45,7 @@ LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"
 SPAN = "struct<start:int,rank:int,end:int,kind:string,text:string>"
 TERM = r"\p{L}"
 BITS = 7  # in a byte of a filter, so that every byte is a character
-MARKS = BITS << 18  # bits of a filter of hashes
+MARKS = BITS << 18  # bits of the largest filter of hashes
 
 
 def digits(text):
@@ -111,7 +111,8 @@ def revealing_terms(marked, generalise=0.8, remove=0.95, texts=5, entity_texts=2
     """
     rows = marked.select(F.coalesce("text", F.lit("")).alias("text"), "base")
     clean = F.when(F.size("base") > 0, without_base(F.col("text"))).otherwise(F.col("text"))
-    everywhere = rows.select(F.explode(terms(clean)).alias("term")).groupBy(
+    # an inner explode would get a filter on the size of its array, which finds all terms a second time
+    everywhere = rows.select(F.explode_outer(terms(clean)).alias("term")).filter("term is not null").groupBy(
         F.xxhash64("term").alias("hash")).agg(F.count("*").alias("n_term"))
     holding = rows.filter(F.size("base") > 0).select(without_base(F.col("text")).alias("text"), protected().alias("about"))
     met = holding.select(F.xxhash64("text").alias("of"), F.explode("about").alias("a"))
@@ -122,9 +123,10 @@ def revealing_terms(marked, generalise=0.8, remove=0.95, texts=5, entity_texts=2
     documents = rows.count()
     n = F.lit(documents).cast("double")
     n_about = about.filter("entity is not null").select(F.col("entity").alias("key"), "n_value")
-    several = marks(n_about.select(F.col("key").alias("hash")))
-    met = holding.select(F.xxhash64("text").alias("of"), terms(F.col("text")).alias("terms"), F.explode("about").alias("a")).filter(
-        F.col("a.entity").isNull() | several(F.col("a.entity")))
+    known, several = marks(n_about.select(F.col("key").alias("hash")))
+    met = holding.select(F.xxhash64("text").alias("of"), terms(F.col("text")).alias("terms"), F.explode_outer(let(
+        F.struct(known.alias("known"), "about"), lambda x: F.filter(x["about"], lambda a: a["entity"].isNull() | several(
+            x["known"], a["entity"])))).alias("a")).filter("a is not null")
     together = met.select("of", "a.kind", "a.entity", F.explode("terms").alias("term")).groupBy(
         "kind", "entity", "term", "of").agg(F.count("*").alias("n")).groupBy("kind", "entity", "term").agg(
         F.sum("n").alias("n_both"), F.count("*").alias("n_texts")).filter(
@@ -148,18 +150,23 @@ def protected():
 
 
 def marks(hashes):
-    """A filter of fixed size for hashes: a column test that no hash of ``hashes`` fails."""
-    places = lambda h: [F.pmod(x, F.lit(MARKS)).cast("int") for x in (h, F.shiftright(h, 24))]
-    marked = bytearray(MARKS // BITS)
+    """A filter of bounded size for hashes: its bytes, and a test that no hash of ``hashes`` fails.
+
+    The bytes are a literal that plans print, so an expression should hold them once, bound by ``let``.
+    """
+    size = min(MARKS, max(16 * hashes.count(), BITS << 6) // BITS * BITS)
+    places = lambda h: [F.pmod(x, F.lit(size)).cast("int") for x in (h, F.shiftright(h, 24))]
+    marked = bytearray(size // BITS)
     for r in hashes.select(F.explode(F.array(*places(F.col("hash")))).alias("at")).distinct().toLocalIterator():
         marked[r["at"] // BITS] |= 1 << r["at"] % BITS
-    known = F.lit(bytes(marked))
 
-    def bit(at):
-        byte = F.ascii(F.substring(known, F.floor(at / BITS).cast("int") + 1, 1).cast("string"))
-        return F.getbit(byte.cast("long"), F.pmod(at, F.lit(BITS))) == 1
+    def passes(known, h):
+        def bit(at):
+            byte = F.ascii(F.substring(known, F.floor(at / BITS).cast("int") + 1, 1).cast("string"))
+            return F.getbit(byte.cast("long"), F.pmod(at, F.lit(BITS))) == 1
+        return reduce(lambda a, b: a & b, map(bit, places(h)))
 
-    return lambda h: reduce(lambda a, b: a & b, map(bit, places(h)))
+    return F.lit(bytes(marked)), passes
 
 
 def sanitise(docs, generalise=0.8, remove=0.95, texts=5, entity_texts=2):
@@ -170,18 +177,17 @@ def sanitise(docs, generalise=0.8, remove=0.95, texts=5, entity_texts=2):
     marked = docs.withColumn("base", base_spans(text))
     revealing = cut_lineage(revealing_terms(marked, generalise, remove, texts, entity_texts))
     # a term that reveals a kind counts where such data stand, one that reveals a value counts everywhere
-    named = marks(revealing.select(F.when(F.col("entity").isNull(), F.xxhash64("term", F.lit("kind"))).otherwise(
+    known, passes = marks(revealing.select(F.when(F.col("entity").isNull(), F.xxhash64("term", F.lit("kind"))).otherwise(
         F.xxhash64("term")).alias("hash")))
     holds = F.size("base") > 0
-    clean = lambda h: F.when(h, without_base(text)).otherwise(text)
-    passes = lambda t, h: named(F.xxhash64(t)) | (h & named(F.xxhash64(t, F.lit("kind"))))
-    tested = marked.withColumn("names", let(holds, lambda h: F.exists(terms(clean(h)), lambda t: passes(t, h))))
-    clear = tested.filter("not names").withColumn("spans", F.col("base")).withColumn(
-        "sanitised", F.when(holds, replaced(text, F.col("base"))).otherwise(F.col("text"))).drop("names")
-    others = tested.filter("names").drop("names").withColumn("text_hash", F.xxhash64("text"))
-    own = marked.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", F.explode(terms(clean(holds))).alias("term")).filter(
-        passes(F.col("term"), holds)).select("doc_id", "text_hash", "term", F.array_distinct(F.transform(
-            "base", lambda s: s["kind"])).alias("kinds"))
+    named = let(F.struct(known.alias("known"), holds.alias("holds"), text.alias("text")), lambda x: F.filter(
+        terms(F.when(x["holds"], without_base(x["text"])).otherwise(x["text"])), lambda t: passes(x["known"], F.xxhash64(t)) | (
+            x["holds"] & passes(x["known"], F.xxhash64(t, F.lit("kind"))))))
+    clear = marked.filter(F.size(named) == 0).withColumn("spans", F.col("base")).withColumn(
+        "sanitised", F.when(holds, replaced(text, F.col("base"))).otherwise(F.col("text")))
+    others = marked.filter(F.size(named) > 0).withColumn("text_hash", F.xxhash64("text"))
+    own = marked.select("doc_id", F.xxhash64("text").alias("text_hash"), F.array_distinct(F.transform(
+        "base", lambda s: s["kind"])).alias("kinds"), F.explode_outer(named).alias("term")).filter("term is not null")
     reveals = own.join(revealing, "term").filter(
         F.col("entity").isNotNull() | F.array_contains("kinds", F.col("kind"))).groupBy("doc_id", "text_hash", "term").agg(
         F.max("action").alias("action")).groupBy("doc_id", "text_hash").agg(
