@@ -154,7 +154,7 @@ def marks(hashes):
 
     The bytes are a literal that plans print, so an expression should hold them once, bound by ``let``.
     """
-    size = min(MARKS, max(16 * hashes.count(), BITS << 6) // BITS * BITS)
+    size = min(MARKS, max(128 * hashes.count(), BITS << 6) // BITS * BITS)
     places = lambda h: [F.pmod(x, F.lit(size)).cast("int") for x in (h, F.shiftright(h, 24))]
     marked = bytearray(size // BITS)
     for r in hashes.select(F.explode(F.array(*places(F.col("hash")))).alias("at")).distinct().toLocalIterator():
