@@ -539,6 +539,71 @@ FINAL["maintained_reports"] = " UNION ALL ".join(f"SELECT '{report}' AS report,
     for report, name, value, of in (("band", "band", "avg_score", "band_distribution"), ("rule", "rule_id", "points_given", "rule_prevalence"),
                                     ("pair", "rule_a || '+' || rule_b", "lift", "rule_cooccurrence"), ("domain", "registrable", "flags", "domain_leaderboard"),
                                     ("sender", "sender_domain", "avg_score", "sender_profile")))
+
+# ---- reports --------------------------------------------------------------------------------
+cte("seen", FINAL["top_evidence"])
+cte("shown", "SELECT msg_id, rule_id, list(evidence ORDER BY ord) AS evidence FROM seen GROUP BY msg_id, rule_id")
+cte("reason", "SELECT * FROM " + values([(r.rule_id, r.why) for r in cat.ALL_RULES]) + " t(rule_id, why)")
+cte("sign", """SELECT msg_id, rank, rule_id, rule.category, rule.severity, rule.points, rule.title, why, rule.advice, coalesce(evidence, []) AS evidence
+    FROM ranked JOIN rule USING (rule_id) JOIN reason USING (rule_id) LEFT JOIN shown USING (msg_id, rule_id)""")
+cte("link", """SELECT msg_id, url_ord, raw, host, registrable, coalesce(labels, []) AS labels FROM url JOIN host USING (host)
+    LEFT JOIN (SELECT msg_id, url_ord, list(label ORDER BY o) AS labels FROM flag GROUP BY msg_id, url_ord) USING (msg_id, url_ord)""")
+cte("whole", f"""SELECT msg_id, score, raw_score, capped, n_counted, band, label, blurb, lo, hi, characters, truncated, prep.text,
+    {count('body', q(f'[^{WS}]+'))} AS words, counts.headers_found, html_found, url_count, file_count, coalesce(n_findings, 0) AS n_findings
+    FROM score JOIN {values(cat.BANDS)} b(id, lo, hi, label, blurb) ON score BETWEEN lo AND hi JOIN counts USING (msg_id)
+    JOIN prep USING (msg_id) JOIN body USING (msg_id) LEFT JOIN (SELECT msg_id, count(*) AS n_findings FROM sign GROUP BY msg_id) USING (msg_id)""")
+
+
+def listed(name, source, item, order):
+    """A list of ``item`` per message, empty where it has none."""
+    return f"LEFT JOIN (SELECT msg_id, list({item} ORDER BY {order}) AS {name} FROM {source} GROUP BY msg_id) USING (msg_id)"
+
+
+def json_of(**fields):
+    return "json_object(" + ", ".join(f"{q(k)}, {v}" for k, v in fields.items()) + ")"
+
+
+SENDER = ("from_address", "from_display", "from_domain", "from_registrable", "reply_to", "reply_to_domain", "return_path", "return_path_domain",
+          "subject", "date", "message_id", "message_id_domain", "received_count", "spf", "dkim", "dmarc", "authentication_results", "header_count")
+
+
+def json_report(with_sender):
+    own = {"sender": json_of(**{c: "message_domain" if c == "message_id_domain" else c for c in SENDER}),
+           "authentication": json_of(spf="spf", dkim="dkim", dmarc="dmarc")} if with_sender else {}
+    parts = {n: f"coalesce({v}, [])" for n, v in (("findings", "findings"), ("links", "links"), ("attachments", "files"), ("notes", "notes"),
+                                                 ("recommendations", "steps"))}
+    return json_of(
+        tool=q("mailsift"), score="score", rawScore="raw_score", capped="capped", band=json_of(id="band", label="label", min="lo", max="hi"),
+        detection=json_of(headersFound="headers_found", htmlFound="html_found", urlCount="url_count", fileCount="file_count", countedFindings="n_counted"),
+        meta=json_of(characters="characters", words="words", truncated="truncated"), **own, **parts)
+
+
+FINAL["report_json"] = f"""SELECT msg_id, band, CAST(CASE WHEN headers_found THEN {json_report(True)} ELSE {json_report(False)} END AS VARCHAR) AS report
+    FROM whole LEFT JOIN sender USING (msg_id)
+    {listed("findings", "sign", json_of(**{c: "rule_id" if c == "id" else c for c in ("id", "category", "severity", "points", "title", "why", "advice", "evidence")}), "rank")}
+    {listed("links", "link", json_of(address="raw", host="host", registrableDomain="registrable", flags="labels"), "url_ord")}
+    {listed("files", "file", "name", "file_ord")}
+    {listed("notes", "note", json_of(severity="severity", title="title", text="text"), "o")}
+    {listed("steps", "advice", json_of(tag="tag", text="text"), "rank")}"""
+yes_no = lambda c: f"CASE WHEN {c} THEN 'yes' ELSE 'no' END"
+stated = lambda c: f"coalesce(nullif({c}, ''), 'unknown')"
+optional = lambda label, c: f"CASE WHEN {c} <> '' THEN '  {label}: ' || {c} END"
+FINAL["report_text"] = f"""SELECT msg_id, band, array_to_string(flatten([
+    ['TRIAGE OF ONE MESSAGE', 'Signs are listed here; none of them is proof.', '', 'Score ' || score || ' of 100: ' || label, '  ' || blurb,
+     '  points added up: ' || raw_score || CASE WHEN capped THEN ', more than the scale holds' ELSE '' END, '', 'INPUT',
+     '  length: ' || characters || ' characters', '  header block: ' || {yes_no('headers_found')}, '  HTML: ' || {yes_no('html_found')},
+     '  links: ' || url_count, '  file names: ' || file_count, ''],
+    CASE WHEN headers_found THEN ['SENDER', '  from: ' || CASE WHEN from_display <> '' THEN '"' || from_display || '" <' || from_address || '>' ELSE from_address END,
+     {optional('replies go to', 'reply_to')}, {optional('bounces go to', 'return_path')}, {optional('subject', 'subject')},
+     '  checks: SPF ' || {stated('spf')} || ', DKIM ' || {stated('dkim')} || ', DMARC ' || {stated('dmarc')}, ''] ELSE [] END,
+    ['FINDINGS: ' || n_findings], CASE WHEN n_findings = 0 THEN ['  No rule fired; a quiet message can still do harm.'] ELSE [] END, coalesce(flatten(signs), []),
+    CASE WHEN notes IS NULL THEN [] ELSE flatten([['REMARKS WITHOUT POINTS'], notes, ['']]) END, ['NEXT STEPS'], coalesce(steps, []),
+    ['', 'Names of files were read, files were not; links were not followed.', '']]), chr(10)) AS report
+    FROM whole LEFT JOIN sender USING (msg_id)
+    {listed("signs", "sign", "flatten([['  ' || CASE WHEN points > 0 THEN '+' || points ELSE '0' END || ' ' || title, '      rule ' || rule_id || ', ' || severity || ', ' || category, '      reason: ' || why], list_transform(evidence, lambda e: '      seen: ' || e), ['      advice: ' || advice, '']])", "rank")}
+    {listed("notes", "note", "'  * ' || title || ' / ' || text", "o")}
+    {listed("steps", "advice", "'  ' || rank || ') ' || tag || ': ' || text", "rank")}"""
+
 cte("page_link", "SELECT page_id AS msg_id, url AS raw FROM pages")
 parsed("page_url", "page_link", "raw")
 
