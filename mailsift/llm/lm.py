@@ -39,7 +39,7 @@ from mailsift.sources.shared import cut_lineage
 HIGH = LOW = 64
 SIDE, DIM, ROUNDS = 2, 32, 2
 CHUNK = 4_000_000
-STEP, BATCH, BLOCK = 0.1, 1024, 16_384
+STEP, BATCH, BLOCK, SCORED = 0.1, 1024, 16_384, 1024  # SCORED tokens at a time fit in a core's cache
 GROUP, PARTS = 64, 16
 PAD = HIGH * LOW
 NEAR = np.array([o for o in range(-SIDE, SIDE + 1) if o])
@@ -82,44 +82,62 @@ def neighbours(ids):
     return padded[np.arange(len(ids))[:, None] + SIDE + NEAR]
 
 
-def softmax(logits):
-    out = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return out / out.sum(axis=1, keepdims=True)
+def hidden_layer(net, near):
+    """Embeddings of the neighbours by place, and the hidden layer."""
+    around = [net["embedding"].take(near[:, p], axis=0) for p in range(2 * SIDE)]
+    total = around[0] * net["position"][0]
+    for a, weights in zip(around[1:], net["position"][1:]):
+        total += a * weights
+    total += net["bias"]
+    return around, np.tanh(total, out=total)
 
 
-def forward(net, near, ids):
-    """Hidden layers and the distributions of both digits."""
-    high = ids // LOW
-    around = net["embedding"][near]
-    hidden = np.tanh(np.einsum("bpd,pd->bd", around, net["position"]) + net["bias"])
-    second = hidden + net["digit"][high]
-    return around, hidden, second, softmax(hidden @ net["first"] + net["first_bias"]), softmax(
-        second @ net["second"] + net["second_bias"])
+def outputs(net, hidden, high):
+    """Hidden layer of the second digit, and the outputs for both, one row per value of a digit: sums over them stay fast."""
+    second = hidden + net["digit"].take(high, axis=0)
+    one = net["first"].T @ hidden.T + net["first_bias"][:, None]
+    two = net["second"].T @ second.T + net["second_bias"][:, None]
+    return second, one, two
 
 
 def log_probabilities(net, near, ids):
-    *_, one, two = forward(net, near, ids)
-    at = np.arange(len(ids))
-    return np.log(np.maximum(one[at, ids // LOW], 1e-30)) + np.log(np.maximum(two[at, ids % LOW], 1e-30))
+    """ln P(id | ids on both sides) of every token."""
+    out, at = np.empty(len(ids), net["bias"].dtype), np.arange(SCORED)
+    for i in range(0, len(ids), SCORED):
+        some = ids[i:i + SCORED]
+        digits = np.divmod(some, LOW)
+        _, *logits = outputs(net, hidden_layer(net, near[i:i + SCORED])[1], digits[0])
+        total = 0
+        for digit, x in zip(digits, logits):
+            x -= x.max(axis=0)
+            mine = x[digit, at[:len(some)]]
+            total = total + mine - np.log(np.exp(x, out=x).sum(axis=0))
+        out[i:i + SCORED] = total
+    return out
 
 
 def gradients(net, near, ids):
     """Gradient of the mean negative log-probability; that of the embeddings as rows and their values."""
-    around, hidden, second, one, two = forward(net, near, ids)
-    n, at, high = np.float32(len(ids)), np.arange(len(ids)), ids // LOW
-    one[at, high] -= 1
-    two[at, ids % LOW] -= 1
-    one, two = one / n, two / n
-    back_two = two @ net["second"].T
-    back = (one @ net["first"].T + back_two) * (1 - hidden**2)
-    chosen = np.zeros((len(ids), HIGH), np.float32)
-    chosen[at, high] = 1
-    to_neighbours = (back[:, None, :] * net["position"]).reshape(-1, DIM)
-    order = np.argsort(near.ravel(), kind="stable")
-    rows, first = np.unique(near.ravel()[order], return_index=True)
-    return {"first": hidden.T @ one, "first_bias": one.sum(axis=0), "second": second.T @ two, "second_bias": two.sum(axis=0),
-            "digit": chosen.T @ back_two, "bias": back.sum(axis=0), "position": np.einsum("bd,bpd->pd", back, around),
-            "embedding": np.add.reduceat(to_neighbours[order], first)}, rows
+    around, hidden = hidden_layer(net, near)
+    (high, low), n, at = np.divmod(ids, LOW), len(ids), np.arange(len(ids))
+    second, one, two = outputs(net, hidden, high)
+    for digit, x in ((high, one), (low, two)):
+        x -= x.max(axis=0)
+        np.exp(x, out=x)
+        x *= 1 / (x.sum(axis=0) * n)
+        x[digit, at] -= 1 / n
+    back_two = two.T @ net["second"].T
+    back = (one.T @ net["first"].T + back_two) * (1 - hidden * hidden)
+    chosen = np.zeros((HIGH, n), back.dtype)
+    chosen[high, at] = 1
+    to_neighbours = np.concatenate([back * weights for weights in net["position"]])
+    places = near.T.ravel().astype(np.uint16)  # short integers are sorted by radix
+    order = np.argsort(places, kind="stable")
+    places = places[order]
+    first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+    return {"first": (one @ hidden).T, "first_bias": one.sum(axis=1), "second": (two @ second).T, "second_bias": two.sum(axis=1),
+            "digit": chosen @ back_two, "bias": back.sum(axis=0), "position": np.stack([np.einsum("bd,bd->d", back, a) for a in around]),
+            "embedding": np.add.reduceat(to_neighbours.take(order, axis=0), first)}, places[first]
 
 
 class Trainer:
@@ -146,8 +164,11 @@ class Trainer:
             found, rows = gradients(self.net, near[at:min(at + BATCH, n)], ids[at:min(at + BATCH, n)])
             for k, g in found.items():
                 where = rows if k == "embedding" else slice(None)
-                self.seen[k][where] += g * g
-                self.net[k][where] -= STEP * g / np.sqrt(self.seen[k][where])
+                seen = self.seen[k][where] + g * g
+                self.seen[k][where] = seen
+                g *= STEP
+                g /= np.sqrt(seen, out=seen)
+                self.net[k][where] -= g
         self.trained += n
         self.near, self.ids, self.waiting = [near[n:]], [ids[n:]], len(ids) - n
 
