@@ -129,6 +129,26 @@ def outcome():
         F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("int"))
 
 
+def oracle_levels():
+    """Registered domain and suffix of ``host`` in plain SQL, from its labels as a list."""
+    some = ", ".join(f"'{s}'" for s in MULTI_PART_SUFFIXES)
+    octet = r"(25[0-5]|2[0-4]\d|[01]?\d{1,2})"
+    return f"""
+    named AS (SELECT DISTINCT host, regexp_replace(host, '(?s)^.*@|:[0-9]*$', '', 'g') AS name FROM parts),
+    told AS (
+      SELECT host, name, string_split(regexp_replace(lower(name), '\\.$', ''), '.') AS labels,
+             regexp_matches(trim(name, '[]'), '^{octet}(\\.{octet}){{3}}$')
+             OR (contains(name, ':') AND regexp_matches(lower(trim(name, '[]')), '^[0-9a-f:.]+$')) AS ip FROM named),
+    owned AS (
+      SELECT host, name, ip, array_to_string(labels[-2:], '.') AS two,
+             array_to_string(labels[(CASE WHEN array_to_string(labels[-2:], '.') IN ({some}) THEN -3 ELSE -2 END):], '.') AS domain
+      FROM told),
+    level AS (
+      SELECT host, CASE WHEN ip THEN name ELSE domain END AS domain,
+             CASE WHEN ip THEN '{IPS}' WHEN domain IN ({some}) OR NOT contains(domain, '.') THEN domain
+                  ELSE substr(domain, instr(domain, '.') + 1) END AS suffix FROM owned)"""
+
+
 def oracle_sql(rules=RULES, limit=LIMIT):
     """The same verdicts as plain SQL over ``pages`` and ``labels``."""
     ordered = sorted((r for _, r in rules), key=len, reverse=True)
@@ -155,11 +175,10 @@ def oracle_sql(rules=RULES, limit=LIMIT):
              regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM cut),
     marks AS (
       SELECT doc_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS bad FROM labels
-      WHERE quality IS NOT NULL OR toxic IS NOT NULL),
+      WHERE quality IS NOT NULL OR toxic IS NOT NULL),{oracle_levels()},
     hosts AS (
-      SELECT host, count(bad)::DOUBLE AS labelled, coalesce(sum(bad), 0.0::DOUBLE) AS bad,
-             regexp_extract(host, '(?s)([^.]*\\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix
-      FROM parts LEFT JOIN marks ON doc_id = page_id GROUP BY host),
+      SELECT host, count(bad)::DOUBLE AS labelled, coalesce(sum(bad), 0.0::DOUBLE) AS bad, domain, suffix
+      FROM parts LEFT JOIN marks ON doc_id = page_id JOIN level USING (host) GROUP BY host, domain, suffix),
     domains AS (SELECT domain, suffix, sum(labelled) AS domain_labelled, sum(bad) AS domain_bad FROM hosts GROUP BY ALL),
     suffixes AS (SELECT suffix, sum(domain_labelled) AS suffix_labelled, sum(domain_bad) AS suffix_bad,
                  (SELECT coalesce(sum(bad) / nullif(sum(labelled), 0), 0) FROM hosts) AS overall FROM domains GROUP BY suffix),

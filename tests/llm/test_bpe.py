@@ -1,10 +1,15 @@
+import base64
+import hashlib
 import random
 
 import numpy as np
 import public_tokenizers
 import pytest
+import tiktoken
+from pyspark.sql import functions as F
 
 from mailsift.llm import bpe
+from mailsift.llm.registry import QUERIES
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -28,3 +33,26 @@ def test_tables(spark):
     assert sorted(bytes(r.decoded) for r in got) == sorted((t or "").encode() for _, t, _ in rows)
     assert [r.n_tokens for r in got if not r.text] == [0, 0]
     assert bpe.encode(docs.limit(0), PATH).count() == 0
+
+
+def expected_of(rows):
+    """What the query has to return, by the library alone."""
+    ranks = {base64.b64decode(token): int(rank) for token, rank in (
+        line.split() for line in open(PATH, "rb").read().splitlines() if line)}
+    library = tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for doc_id, text in rows:
+        ids = library.encode_ordinary(text or "")
+        yield (doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
+               hashlib.sha256((text or "").encode()).hexdigest())
+
+
+def test_query_equals_the_library(spark, tmp_path):
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = [(-1, None), (-2, ""), (-3, "x" * 50_000), (-4, "日本語 é\u0301 🙂" * 3000), (-5, " \n\t " * 4000), (-6, "a<|endoftext|> b"),
+           (-7, "\x00\x1c\u2028"), (-8, "repeated"), (-8, "repeated"), (None, "no id")]
+    docs = given.union(spark.createDataFrame(odd, given.schema)).withColumn("ids", F.lit("own")).withColumn("decoded", F.lit(1))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op6_bpe_tree"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    expected = expected_of([(r.doc_id, r.text) for r in docs.collect()])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)

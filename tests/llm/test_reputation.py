@@ -63,3 +63,25 @@ def test_a_hot_site_does_not_block_others_below_its_suffix(spark):
     labels = spark.createDataFrame([(i, int(i < 300)) for i in range(500)], "page_id long, bad int")
     got = {r.host: r for r in reputation.judge(pages, labels).collect()}
     assert got["bad.co.uk"].verdict == "block" and got["h1.co.uk"].prior_mean < 0.3 < got["bad.co.uk"].prior_mean
+
+
+def test_suffixes_ips_and_repeats_equal_sql(spark):
+    hosts = ["a.shop.co.uk", "b.shop.co.uk:80", "shop.co.uk", "co.uk", "other.co.uk", "x.com.au", "10.1.2.3", "u@10.1.2.3:8080", "10.1.2.4",
+             "[::1]:80", "[2001:db8::1]", "1.2.3.456", "q.example.net", "example.net.", "net", "", "plain", "a..b"]
+    pages = [(i % 390, f"http://{hosts[i * 7 % 18]}/p{i % 3}") for i in range(400)] + [(500 + i, f"https://{h}/") for i, h in enumerate(hosts)]
+    pages += [(600, None), (601, "none"), (None, "http://a.shop.co.uk/")]
+    bad, good = ((0, 0), (1, 1), (None, 1), (0, None), (1, 0), (None, None)), ((1, 0), (1, None), (None, 0), (1, 0), (None, None), (1, 0))
+    labels = [(i, *(bad if i * 7 % 18 in (0, 1, 4, 6, 9, 14) else good)[i % 37 % 6]) for i in range(400)] + [(3, 0, 0), (None, 0, 0)]
+    pages = spark.createDataFrame(pages, "page_id long, url string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    con = duckdb.connect()
+    con.register("pages", pages.toArrow())
+    con.register("labels", labels.toArrow())
+    expected = con.sql(ORACLE_SQL["op4_host_reputation"])
+    got = reputation.judge(pages, labels.select(F.col("doc_id").alias("page_id"), reputation.outcome().alias("bad")))
+    assert sorted(map(tuple, got.select(*expected.columns).collect()), key=str) == sorted(map(tuple, expected.fetchall()), key=str)
+    assert {r.verdict for r in got.filter("rule is null").collect()} == {"allow", "block"}
+    known = {r[0]: (r[1], r[2]) for r in con.sql(ORACLE_SQL["op4_host_reputation"].split("hosts AS (", 1)[0].rstrip().rstrip(",")
+                                                 + " SELECT host, domain, suffix FROM level").fetchall()}
+    rows = got.select("host").distinct().select("host", *reputation.levels(F.col("host"))).collect()
+    assert known == {r[0]: (r[1], r[2]) for r in rows}
