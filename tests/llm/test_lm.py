@@ -1,3 +1,7 @@
+import pathlib
+import subprocess
+import sys
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -92,3 +96,22 @@ def test_every_token_of_every_document_is_trained(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 9), i) for i in range(300)] + [(300, None, 0)], "doc_id long, text string, offset int")
     copies = lm.trained_copies(docs, lm.start()).select("task", "weight").distinct().collect()
     assert sum(r.weight for r in copies) == sum(i % 9 for i in range(300))
+
+
+FAULTS = """
+import resource
+import numpy as np
+from mailsift.llm import lm
+ids = (np.random.default_rng(3).zipf(1.3, 40 * lm.BATCH) % lm.PAD).astype(np.int32)
+trainer, near, faults = lm.Trainer(lm.start()), lm.neighbours(ids), []
+for at in range(0, len(ids), lm.BATCH):
+    faults.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt)
+    trainer.add(near[at:at + lm.BATCH], ids[at:at + lm.BATCH])
+print((faults[-1] - faults[10]) / (len(faults) - 11))
+"""
+
+
+def test_a_training_step_uses_the_memory_of_the_last_one():
+    root = pathlib.Path(__file__).resolve().parents[2]  # a process of its own: what other tests freed has an effect on this
+    told = subprocess.run([sys.executable, "-c", FAULTS], cwd=root, capture_output=True, text=True, check=True)
+    assert float(told.stdout) < 50, told.stdout
