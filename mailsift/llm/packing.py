@@ -109,11 +109,10 @@ def pieces(docs, path, capacity=1024, end=2, added=None):
         known = words(path)
         types = pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()
         for batch in batches:
-            keys, texts = column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist()
-            for at in range(0, len(keys), BLOCK):
-                rows = []
-                for key, ids in zip(keys[at:at + BLOCK], with_added(
-                        known, [t or "" for t in texts[at:at + BLOCK]], added)):
+            for at in range(0, batch.num_rows, BLOCK):
+                block, rows = batch.slice(at, BLOCK), []  # only the texts of a block become strings at once
+                for key, ids in zip(column(block, "doc_id").to_pylist(), with_added(
+                        known, [t or "" for t in column(block, "text").to_pylist()], added)):
                     ids += tail
                     n = len(ids) // 4
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
